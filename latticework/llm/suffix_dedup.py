@@ -252,12 +252,16 @@ def _columns(length: int, batch_bytes: int):
     return run
 
 
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("tag"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, batch_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tag (xxhash64 of the text), spans: for every document with repeated bytes, intervals [s, e) that cover them; they may overlap."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     spark = docs.sparkSession
-    own = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("tag"))
+    own = _own(docs, id_col, text_col)
     rows = materialize(own.mapInArrow(_anchor_rows(length), ANCHORS), "anchors")
     contents = materialize(rows.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "s0", "s1", "p")).alias("r")), "contents")
     whole = rows.join(contents.where("n > 1").select("key", "c1", "c2"), ["key", "c1", "c2"]).select("doc_id", "tag", F.col("s0").alias("s"), (F.col("s1") + length).alias("e"))
@@ -333,5 +337,8 @@ def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    own = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
-    return _with_spans(own, "doc_id", "text", how).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # the same three columns by the same keys as in repeated_spans: Spark shuffles the texts once for both joins
+    own = _own(docs, id_col, text_col)
+    found = repeated_spans(docs, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("w_id"), F.col("tag").alias("w_tag"), "spans").hint("shuffle_hash")
+    both = own.join(found, own["doc_id"].eqNullSafe(F.col("w_id")) & (own["tag"] == F.col("w_tag")), "left").select(own["doc_id"], "text", "spans")
+    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
