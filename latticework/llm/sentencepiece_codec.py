@@ -4,14 +4,17 @@ Normalisation walks the text by longest prefixes of the model's compiled charact
 map (a double-array trie) and records, for every normalised byte, the original byte
 it came from.  The normalised text is cut into words that no piece of the vocabulary
 can cross; each distinct word is merged once, by the model's own scores, and kept in
-a bounded cache (by the library itself where normalisation only marks spaces).  Every piece is projected through the recorded alignment to a span
-of original bytes; byte-fallback pieces share the span of their character.
+a bounded cache.  Where the character map is empty and normalisation only marks spaces,
+the library merges and the alignment is an array computed as a whole.  Every piece is
+projected through the recorded alignment to a span of original bytes; byte-fallback
+pieces share the span of their character.
 
 Ids equal those of the sentencepiece library for BPE models (no begin or end ids, no
 sampling); decoding is the library's own decode(ids).
 
 Defined cases: a null text is empty; an empty text has no ids and decodes to "";
-very long texts are handled word by word; repeated rows and further columns pass.
+very long texts are handled word by word; repeated rows and further columns pass; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -76,6 +79,7 @@ class Codec:
     def __post_init__(self):
         import re
 
+        import numpy as np
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -100,6 +104,7 @@ class Codec:
             elif p.type == 2:
                 self.unk = i
         self.sizes = [len(p.piece.encode()) if p.type in (1, 4, 5) else 0 for p in m.pieces]
+        self.widths = np.array(self.sizes)
         self.decimal = [*map(str, range(len(m.pieces)))]
         self.first = [p.piece.startswith(SPACE) for p in m.pieces]
         self.unused = {p.piece for p in m.pieces if p.type == 5}
@@ -266,6 +271,30 @@ class Codec:
             assert at == end
         return out
 
+    def aligned(self, text: bytes):
+        """(ids, starts, ends) as arrays: as spans(), at once for the whole text where normalisation is plain."""
+        import numpy as np
+
+        if not (self.plain and self.dummy):
+            got = np.array(self.spans(text), np.int32).reshape(-1, 3)
+            return got[:, 0], got[:, 1], got[:, 2]
+        clean = text.decode("utf-8", "replace")
+        ids = np.array(self.library.encode(clean), np.int32)
+        if not len(ids):
+            return ids, ids, ids
+        raw = np.frombuffer(clean.encode(), np.uint8)
+        # normalised: a mark of three bytes, then the text with three bytes for each space
+        align = np.r_[0, 0, 0, np.repeat(np.arange(len(raw), dtype=np.int32), np.where(raw == 32, 3, 1)), len(raw)]
+        sizes = self.widths[ids]
+        lone = sizes == 0
+        ends = np.cumsum(np.where(lone, 1, sizes))
+        starts, ends = align[np.r_[0, ends[:-1]]], align[ends]
+        if lone.any():
+            heads = np.flatnonzero(np.r_[raw & 0xC0 != 0x80, True])
+            starts[lone] = heads[np.searchsorted(heads, starts[lone], "right") - 1]
+            ends[lone] = heads[np.searchsorted(heads, ends[lone], "left")]
+        return ids, starts.astype(np.int32), ends.astype(np.int32)
+
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
@@ -276,8 +305,8 @@ def load_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
-    """doc_id, ids, decoded and, if asked for, starts and ends: each id's span in the text's UTF-8 bytes."""
+def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
+    """doc_id, ids, decoded and, unless not asked for, starts and ends: each id's span in the text's UTF-8 bytes."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -286,9 +315,9 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
         for batch in small_batches(batches, limit=2 << 20):
             texts = text_bytes(batch.column(1))
             if spans:
-                got = [codec.spans(t) for t in texts]
-                ids = [[x[0] for x in g] for g in got]
-                more = [pa.array([[x[k] for x in g] for g in got], pa.list_(pa.int32())) for k in (1, 2)]
+                got = [codec.aligned(t) for t in texts]
+                ids = [g[0].tolist() for g in got]
+                more = [pa.array([g[k] for g in got], pa.list_(pa.int32())) for k in (1, 2)]
             else:
                 ids, more = [codec.encode(t)[0] for t in texts], []
             cols = [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(codec.decode, ids), pa.string()), *more]
@@ -299,7 +328,7 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
 
 
 def token_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 (all starts, then all ends, as little-endian 32-bit numbers) for every document."""
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -309,15 +338,14 @@ def token_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
         codec = Codec(model)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in small_batches(batches, limit=4 << 20):
-            n, a, b = [], [], []
+            n, a, b, c = [], [], [], []
             for text in text_bytes(batch.column(1)):
-                ids, decimal = codec.encode(text)
-                n.append(len(ids))
-                a.append(sha(decimal.encode()))
-                b.append(sha(codec.decode(ids).encode()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(quoted(id_col).cast("long"), quoted(text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-
+                ids, starts, ends = codec.aligned(text)
+                listed = ids.tolist()
+                n.append(len(listed))
+                a.append(sha(",".join([codec.decimal[i] for i in listed]).encode()))
+                b.append(sha(codec.decode(listed).encode()))
+                c.append(sha(starts.astype("<i4").tobytes() + ends.astype("<i4").tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *map(pa.array, (a, b, c))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
+
+    return docs.select(quoted(id_col).cast("long"), quoted(text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

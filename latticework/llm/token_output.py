@@ -119,12 +119,18 @@ def sequences(tokens: DataFrame, key: int, seq_len: int = SEQ_LEN, end_id: int =
     return out.repartitionById(max(1, -(-total // per_shard)), "shard").sortWithinPartitions("slot")
 
 
+def _store(folder: str):
+    """File system and path of a folder: local, or any store that Arrow can open."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+
+
 def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
     """Writes shard-NNNNNN.bin into folder, which all executors share; gives shard, first_slot, n_records, bytes, sha256.
 
     A file appears by one rename when it is whole, so a task that is run again does no harm.
     """
-    root = folder.removeprefix("file://")
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -138,17 +144,18 @@ def write_shards(ordered: DataFrame, folder: str) -> DataFrame:
                 continue
             if out is None:
                 first, shard = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
-                os.makedirs(root, exist_ok=True)
+                store, root = _store(folder)
+                store.create_dir(root, recursive=True)
                 name = f"{root}/shard-{shard:06d}.bin"
                 temp = f"{name}.{uuid.uuid4().hex}"
-                out = open(temp, "wb")  # noqa: SIM115
+                out = store.open_output_stream(temp)
             for record in batch.column(5).to_pylist():
                 out.write(record)
                 sha.update(record)
                 n, size = n + 1, size + len(record)
         if out is not None:
             out.close()
-            os.replace(temp, name)
+            store.move(temp, name)
             yield pa.RecordBatch.from_pylist([{"shard": shard, "first_slot": first, "n_records": n, "bytes": size, "sha256": sha.hexdigest()}], pa.schema([("shard", pa.int32()), ("first_slot", pa.int64()), ("n_records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
     return ordered.mapInArrow(run, "shard int, first_slot long, n_records long, bytes long, sha256 string")
@@ -159,10 +166,11 @@ def read_records(folder: str, slot: int, count: int, seq_len: int = SEQ_LEN, per
     import struct
 
     stride = HEADER + 2 * seq_len
+    store, root = _store(folder)
     while count > 0:
         shard, inside = divmod(slot, per_shard)
         try:
-            f = open(f"{folder.removeprefix('file://')}/shard-{shard:06d}.bin", "rb")  # noqa: SIM115
+            f = store.open_input_file(f"{root}/shard-{shard:06d}.bin")
         except FileNotFoundError:
             return
         with f:
@@ -171,8 +179,8 @@ def read_records(folder: str, slot: int, count: int, seq_len: int = SEQ_LEN, per
                 doc_id, k, n = struct.unpack_from("<qii", raw)
                 yield doc_id, k, n, [*struct.unpack_from(f"<{n}H", raw, HEADER)]
                 slot, count = slot + 1, count - 1
-            if count > 0 and inside < per_shard and slot % per_shard:
-                return
+        if slot // per_shard == shard:  # the last shard, which is not full
+            return
 
 
 def record_digests(docs: DataFrame, ranks: bytes, pattern: str, key: int, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD) -> DataFrame:
