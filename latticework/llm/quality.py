@@ -6,10 +6,11 @@ normalised (trimmed, blanks squeezed, lower case) and hashed; per host the docum
 hold it are counted, and lines in more than `line_limit` documents are removed.  A document
 left with less than `keep_percent` of its words is depleted and rejected.
 
-Documents that copy one another count once: a document's signature is the least hash
-among its lines, a line's count is that of distinct signatures, and a line whose documents
-are mostly copies (signatures under half of the documents) is no boilerplate.  Copies are
-for the near-duplicate operators to remove, of which each group keeps one.
+Documents that copy one another count once: seen from a line, a document's signature is
+the least hash among its other lines, those of at least mean length before shorter ones
+(boilerplate tends to be short).  A line's count is that of distinct signatures, and a
+line whose documents are mostly copies (signatures under half of the documents) is no
+boilerplate.  Copies are for the near-duplicate operators, which keep one of each group.
 
 Hot lines and hosts: counts are pre-aggregated before every shuffle, and the join of lines
 with the few lines above the limit is a plain equi-join that adaptive execution splits.
@@ -78,9 +79,15 @@ def _lines(keyed: DataFrame) -> DataFrame:
     def norm(x: Column) -> Column:
         return F.lower(F.trim(F.regexp_replace(x, BLANKS, " ")))
 
-    all_ = F.transform(F.transform(F.split("text", "\n", -1), norm), lambda x, i: F.struct(F.unhex(F.md5(x)).alias("line"), i.alias("pos"), F.size(F.split(x, " ")).alias("n"), (x != "").alias("some")))
-    listed = keyed.select("doc_id", "tag", "host", F.explode(F.array(F.filter(all_, lambda x: x["some"]))).alias("lines"))
-    return listed.select("doc_id", "tag", "host", F.array_min(F.col("lines.line")).alias("sig"), F.explode("lines").alias("l")).select("doc_id", "tag", "host", "sig", "l.line", "l.pos", "l.n")
+    all_ = F.transform(F.transform(F.split("text", "\n", -1), norm), lambda x, i: F.struct(F.unhex(F.md5(x)).alias("line"), i.alias("pos"), F.size(F.split(x, " ")).alias("n"), F.length(x).alias("chars")))
+    listed = keyed.select("doc_id", "tag", "host", F.explode(F.array(F.filter(all_, lambda x: x["chars"] > 0))).alias("lines"))
+    total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
+    listed = listed.select("*", total.alias("total"))
+    ranked = F.array_sort(F.array_distinct(F.transform("lines", lambda x: F.struct((x["chars"] * F.size("lines") < F.col("total")).alias("short"), x["line"].alias("line")))))
+    listed = listed.select("doc_id", "tag", "host", "lines", F.slice(ranked, 1, 2).alias("least"))
+    rows = listed.select("doc_id", "tag", "host", "least", F.explode("lines").alias("l"))
+    sig = F.when(F.col("l.line") == F.get("least", F.lit(0))["line"], F.coalesce(F.get("least", F.lit(1))["line"], F.col("l.line"))).otherwise(F.get("least", F.lit(0))["line"])
+    return rows.select("doc_id", "tag", "host", sig.alias("sig"), "l.line", "l.pos", "l.n")
 
 
 def removed_lines(docs: DataFrame, line_limit: int = LINE_LIMIT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

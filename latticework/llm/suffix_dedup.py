@@ -316,9 +316,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rest = [None if z else _keep(t, merged(s)) for t, s, z in zip(text_bytes(batch.column(at)), batch.column(width).to_pylist(), null, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(rest, pa.binary())], names=[*batch.schema.names[:width], kept])
 
-    from pyspark.sql.types import BinaryType, StructType
+    from pyspark.sql.types import BinaryType, StructField, StructType
 
-    return _with_spans(docs, id_col, text_col, how).mapInArrow(run, StructType(docs.schema.fields).add(kept, BinaryType()))
+    return _with_spans(docs, id_col, text_col, how).mapInArrow(run, StructType([*docs.schema.fields, StructField(kept, BinaryType())]))
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

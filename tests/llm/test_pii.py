@@ -1,0 +1,73 @@
+import re
+from hashlib import sha256
+
+from latticework.llm import pii, queries
+
+from .conftest import got, ordered
+
+BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def good(kind, m):
+    d = [int(c) for c in m if c in "0123456789"]
+    if kind == "ip":
+        return all(int(x) <= 255 for x in m.split("."))
+    if kind == "card":
+        return 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+    return kind != "phone" or 9 <= len(d) <= 15
+
+
+def brute(doc, text):
+    found = [[(m.start(), k, m.end()) for m in re.finditer(p, text or "") if good(kind, m[0])] for k, (kind, p) in enumerate(BASE)]
+    spans = ",".join(f"{BASE[k][0]}:{s}:{e}" for s, k, e in sorted(sum(found, [])))
+    return (doc, *map(len, found), sha256(spans.encode()).hexdigest())
+
+
+COLUMNS = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
+
+
+def test_fixture(docs, rows):
+    want = ordered([brute(r[0], r[1]) for r in rows])
+    assert got(pii.report(docs), *COLUMNS) == want
+    assert all(sum(r[k] for r in want) for k in range(1, 5))
+
+
+def test_query(spark, sf, real):
+    out = queries.op7_pii(spark, sf)
+    assert got(out, *COLUMNS) == ordered([brute(d, t) for d, t in zip(real.doc_id.tolist(), real.text, strict=True)])
+
+
+def test_hard_texts(spark):
+    """Long runs that match nothing or much, and texts made of the expressions' own characters."""
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("0123456789 -.+@()a_%") for _ in range(rng.randint(1, 400))) for _ in range(300)]
+    texts += ["".join(rng.choice("019.") for _ in range(300)) for _ in range(50)] + ["".join(rng.choice("a.@b") for _ in range(300)) for _ in range(50)]
+    texts += ["a" * 50_000, "1 " * 20_000, "a.b." * 20_000 + "@", "+1" + " " * 30_000, "x@y." + "z." * 20_000, "1.2." * 5_000, "+1" * 5_000, "a@b.cc " * 3_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    assert got(pii.report(df), *COLUMNS) == ordered([brute(i, t) for i, t in enumerate(texts)])
+
+
+def test_added_kinds(spark):
+    text = "IBAN DE89 3704 0044 0532 0130 00, bad DE88 3704 0044 0532 0130 00; ssn: 123-45-6789; plain 987-65-4321; tel 555-123-4567"
+    out = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = [s.split(":") for s in out.spans.split(",")]
+    assert [(k, text[int(a) : int(b)]) for k, a, b in spans] == [("iban", "DE89 3704 0044 0532 0130 00"), ("national_id", "123-45-6789"), ("local_phone", "555-123-4567")]
+
+
+def test_redact(spark):
+    df = spark.createDataFrame([(1, "write to a@b.cc now 😀 10.0.0.1!", "x"), (2, None, "y")], "doc_id long, text string, text2 string")
+    assert got(pii.redact(df), "doc_id", "text") == [(1, "write to [EMAIL] now 😀 [IP]!"), (2, None)]
+    assert pii.redact(df).columns == df.columns
+
+
+def test_native_and_empty(docs, empty):
+    plan = pii.report(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert pii.report(empty).collect() == []
