@@ -43,6 +43,10 @@ def distance(vector: Column, query: list[float]) -> Column:
     return F.aggregate(F.zip_with(vector, q, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
 
 
+def _equals(w: str):
+    return lambda x: x == w  # one parameter: a second one would be the index
+
+
 def bm25_statistics(text: Column, query: str) -> list[Column]:
     """Aggregates of the corpus: documents, mean length, and documents with each query token."""
     t = tokens(text)
@@ -53,7 +57,7 @@ def bm25_score(text: Column, query: str) -> Column:
     """Score of a text beside the columns of bm25_statistics(); 0 where no token matches."""
     t, score = tokens(text), F.lit(0.0)
     for i, w in enumerate(dict.fromkeys(analyze(query))):
-        tf = F.size(F.filter(t, lambda x, w=w: x == w)).cast("double")
+        tf = F.size(F.filter(t, _equals(w))).cast("double")
         idf = F.log(1 + (F.col("bm_n") - F.col(f"bm_{i}") + 0.5) / (F.col(f"bm_{i}") + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(t) / F.col("bm_len")))
     return F.coalesce(score, F.lit(0.0))
