@@ -18,8 +18,11 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("op", op).where("op is not null").select("id", "op", "before", "after")
 
 
-def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """id, conflict, row: the three-way merge by id; row is null where the entity is gone, conflict null where there is none."""
+def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame, changed_only: bool = False) -> DataFrame:
+    """id, conflict, row: the three-way merge by id; row is null where the entity is gone, conflict null where there is none.
+
+    changed_only: only conflicts and entities that differ from ours.
+    """
     cols = base.columns
     all_ = _packed(base, "b", cols).join(_packed(ours, "o", cols), "id", "full_outer").join(_packed(theirs, "t", cols), "id", "full_outer")
     b, o, t = F.col("b"), F.col("o"), F.col("t")
@@ -27,6 +30,8 @@ def merge(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     clash = F.when(b.isNull(), "DivergentInsert").when(o.isNull() | t.isNull(), "DeleteVsUpdate").otherwise("DivergentUpdate")
     conflict: Column = F.when(same_t | same_o | equal, F.lit(None).cast("string")).otherwise(clash)
     row = F.when(same_t | equal, o).when(same_o, t)
+    if changed_only:
+        all_ = all_.where(~(same_t | equal))
     return all_.select("id", conflict.alias("conflict"), row.alias("row"))
 
 
