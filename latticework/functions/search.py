@@ -47,20 +47,40 @@ def _equals(w: str):
     return lambda x: x == w  # one parameter: a second one would be the index
 
 
+def _once(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def bm25_statistics(text: Column, query: str) -> list[Column]:
     """Aggregates of the corpus: documents, mean length, and documents with each query token."""
-    t = tokens(text)
-    return [F.count(text).alias("bm_n"), F.avg(F.size(t)).alias("bm_len"), *[F.sum(F.array_contains(t, w).cast("long")).alias(f"bm_{i}") for i, w in enumerate(dict.fromkeys(analyze(query)))]]
+    words = list(dict.fromkeys(analyze(query)))
+    found = _once(tokens(text), lambda t: F.array(F.size(t), *[F.array_contains(t, w).cast("int") for w in words]))
+    seen = F.when(text.isNotNull(), found)  # one array a document, so that the aggregates share it
+    return [F.count(text).alias("bm_n"), F.avg(F.get(seen, 0)).alias("bm_len"), *[F.sum(F.get(seen, i + 1).cast("long")).alias(f"bm_{i}") for i in range(len(words))]]
+
+
+def may_match(text: Column, query: str) -> Column:
+    """A cheap condition without which no token of the query is in the text."""
+    low = F.lower(text)
+    out = F.lit(False)
+    for w in dict.fromkeys(analyze(query)):
+        out = out | F.contains(low, F.lit(w))
+    return F.coalesce(out, F.lit(False))
 
 
 def bm25_score(text: Column, query: str) -> Column:
     """Score of a text beside the columns of bm25_statistics(); 0 where no token matches."""
-    t, score = tokens(text), F.lit(0.0)
-    for i, w in enumerate(dict.fromkeys(analyze(query))):
-        tf = F.size(F.filter(t, _equals(w))).cast("double")
-        idf = F.log(1 + (F.col("bm_n") - F.col(f"bm_{i}") + 0.5) / (F.col(f"bm_{i}") + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(t) / F.col("bm_len")))
-    return F.coalesce(score, F.lit(0.0))
+
+    def of(t: Column) -> Column:
+        score = F.lit(0.0)
+        for i, w in enumerate(dict.fromkeys(analyze(query))):
+            tf = F.size(F.filter(t, _equals(w))).cast("double")
+            idf = F.log(1 + (F.col("bm_n") - F.col(f"bm_{i}") + 0.5) / (F.col(f"bm_{i}") + 0.5))
+            score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(t) / F.col("bm_len")))
+        return score
+
+    return F.coalesce(_once(tokens(text), of), F.lit(0.0))
 
 
 def mock_embedding(text: str, dim: int) -> list[float]:

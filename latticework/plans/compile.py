@@ -362,7 +362,7 @@ class Compiler:
         def match(df: DataFrame) -> DataFrame:
             base = self.tables(t(var).name)
             stats = base.agg(*S.bm25_statistics(F.col(prop), q))  # one row
-            scored = df.crossJoin(F.broadcast(stats)).withColumn("__s", S.bm25_score(col, q)).where(F.col("__s") > 0)
+            scored = df.where(S.may_match(col, q)).crossJoin(F.broadcast(stats)).withColumn("__s", S.bm25_score(col, q)).where(F.col("__s") > 0)
             extra = [c for c in scored.columns if c.startswith("bm_")]
             best = scored.drop(*extra)
             if k is not None:
