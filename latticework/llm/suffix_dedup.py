@@ -17,7 +17,9 @@ document or another; overlaps count) is found, exactly.
 
 The arrays are bounded by the batch of strings at hand (batch_bytes), so they live in
 memory: a cluster has no machine-local folder to put the files in.  Anchors with many
-contents are cut into ranges of window starts, each of which is complete by itself.
+contents are cut into ranges of window starts, each of which is complete by itself; beyond
+HEAVY contents the ranges would be single windows, which are counted by a 128-bit hash in a
+plain aggregation, so that no group of strings grows without bound.
 
 Defined cases: null and empty texts have no byte to remove; bytes of invalid strings don't
 arise (texts are UTF-8); repeated rows (same doc_id and text) are each other's copies, as
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialize, partitions, quoted, small_batches, text_bytes
 
-LENGTH, GRAM, CROWD = 400, 32, 256
+LENGTH, GRAM, CROWD, HEAVY = 400, 32, 256, 8192
 ANCHORS = "key long, c1 long, c2 long, doc_id long, tag long, s0 int, s1 int, p int"
 
 
@@ -169,7 +171,38 @@ def repeated_windows(key, strings: list[bytes], at, first, last, length: int):
 STRINGS = "key long, part int, doc_id long, tag long, start int, at int, first int, last int, n long, bytes binary"
 
 
-def _cut(length: int, crowd: int):
+WINDOWS = "h1 long, h2 long, doc_id long, tag long, s int, n long"
+
+
+def _windows(length: int, heavy: int):
+    """The windows of heavy anchors, one by one: hash, place, and how many documents have their string."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        for batch in small_batches(batches, column=2, limit=1 << 18):
+            digests, ids, tags, starts, counts = [], [], [], [], []
+            for doc_id, tag, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                view = memoryview(text)
+                for x in wanted:
+                    if x["m"] > heavy:
+                        some = range(x["s0"], x["s1"] + 1)
+                        digests += [xxhash.xxh3_128_digest(view[a : a + length]) for a in some]
+                        ids += [doc_id] * len(some)
+                        tags += [tag] * len(some)
+                        starts += some
+                        counts += [x["n"]] * len(some)
+            if ids:
+                h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                cols = [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(starts, pa.int32()), pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in WINDOWS.split(", ")])
+
+    return run
+
+
+def _cut(length: int, crowd: int, heavy: int):
     """The strings of one document, cut from its text; those of crowded anchors in ranges of window starts."""
 
     def run(batches: Iterator) -> Iterator:
@@ -181,6 +214,8 @@ def _cut(length: int, crowd: int):
             rows = []
             for doc_id, tag, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 for x in wanted:
+                    if x["m"] > heavy:
+                        continue
                     # window starts by their distance before the anchor, 0 to length - gram; `wide` of them in a part
                     wide = max(1, -(-length // max(1, -(-x["m"] // crowd)))) if x["m"] > crowd else length
                     far, near = x["p"] - x["s0"], x["p"] - x["s1"]
@@ -256,7 +291,7 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("tag"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, batch_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, heavy: int = HEAVY, batch_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tag (xxhash64 of the text), spans: for every document with repeated bytes, intervals [s, e) that cover them; they may overlap."""
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
@@ -265,15 +300,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, ba
     rows = materialize(own.mapInArrow(_anchor_rows(length), ANCHORS), "anchors")
     contents = materialize(rows.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "s0", "s1", "p")).alias("r")), "contents")
     whole = rows.join(contents.where("n > 1").select("key", "c1", "c2"), ["key", "c1", "c2"]).select("doc_id", "tag", F.col("s0").alias("s"), (F.col("s1") + length).alias("e"))
-    mixed = contents.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    mixed = materialize(contents.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
+    most = mixed.agg(F.max("m")).first()[0] or 0
     wanted = contents.join(mixed, "key").select("r.doc_id", "r.tag", F.struct("key", "r.s0", "r.s1", "r.p", "n", "m").alias("x"))
     wanted = wanted.groupBy("doc_id", "tag").agg(F.collect_list("x").alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("w_id"), F.col("tag").alias("w_tag"), "wanted").hint("shuffle_hash")
     texts = own.join(wanted, own["doc_id"].eqNullSafe(F.col("w_id")) & (own["tag"] == F.col("w_tag"))).select("doc_id", "tag", "text", "wanted")
-    strings = texts.mapInArrow(_cut(length, crowd), STRINGS)
+    strings = texts.mapInArrow(_cut(length, crowd, heavy), STRINGS)
     order = ["key", "part"]
     partial = strings.repartition(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_columns(length, batch_bytes), SPANS)
-    return whole.unionByName(partial).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    found = whole.unionByName(partial)
+    if most > heavy:  # else the texts needn't be read once more
+        windows = materialize(texts.where(F.exists("wanted", lambda x: x["m"] > heavy)).mapInArrow(_windows(length, heavy), WINDOWS), "windows")
+        often = windows.groupBy("h1", "h2").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
+        found = found.unionByName(windows.join(often, ["h1", "h2"]).select("doc_id", "tag", "s", (F.col("s") + length).alias("e")))
+    return found.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def merged(spans) -> list[tuple[int, int]]:

@@ -32,8 +32,8 @@ def test_fixture(docs, rows, length):
     assert sum(r[3] > 0 for r in want) > 20
 
 
-@pytest.mark.parametrize("crowd", [2, 256])
-def test_many_contents(spark, crowd):
+@pytest.mark.parametrize(("crowd", "heavy"), [(2, 8192), (256, 8192), (2, 10), (256, 1)])
+def test_many_contents(spark, crowd, heavy):
     """One passage in many surroundings, cut at every length; periodic texts; near copies."""
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abcd ") for _ in range(n))
@@ -41,7 +41,7 @@ def test_many_contents(spark, crowd):
     pairs = [(i, word(rng.randint(0, 90)) + passage[rng.randint(0, 60) : 150 - rng.randint(0, 60)] + word(rng.randint(0, 90))) for i in range(60)]
     pairs += [(100, "ab" * 100), (101, "ab" * 40), (102, "x" * 300), (103, "x" * 63), (104, "x" * 64), (105, passage), (106, passage)]
     df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
-    assert got(suffix_dedup.repeat_digests(df, length=64, crowd=crowd, batch_bytes=500), *COLUMNS) == brute(pairs, 64)
+    assert got(suffix_dedup.repeat_digests(df, length=64, crowd=crowd, heavy=heavy, batch_bytes=500), *COLUMNS) == brute(pairs, 64)
 
 
 def test_query(spark, sf, real):
