@@ -11,6 +11,7 @@ from .operators import integrity, versions
 from .plans.compile import Compiler
 from .plans.query import parse_queries
 from .plans.schema import parse_schema
+from .store_queries import STORED
 
 SCHEMA = """
 node Region { name: String @key }
@@ -223,5 +224,5 @@ OTHER: dict[str, tuple[Callable, str]] = {
         union all select cast(p_partkey as varchar), 'brand fails @check' from part where not regexp_matches(p_brand, '[1-3]') union all select cast(p_partkey as varchar), 'kind is not in its enum' from part where p_size % 9 = 0"""),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: (lambda spark, sf_dir, text=text: run(spark, sf_dir, text)) for n, (text, _) in GRAPH.items()} | {n: f for n, (f, _) in OTHER.items()}
-SQL: dict[str, str] = {n: sql for n, (_, sql) in (GRAPH | OTHER).items() if sql}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: (lambda spark, sf_dir, text=text: run(spark, sf_dir, text)) for n, (text, _) in GRAPH.items()} | {n: f for n, (f, _) in (OTHER | STORED).items()}
+SQL: dict[str, str] = {n: sql for n, (_, sql) in (GRAPH | OTHER | STORED).items() if sql}
