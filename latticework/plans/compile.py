@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import search as S
 from ..operators import traverse
+from ..storage import numbered as numbered_all
 from .lexer import TypeCheckError
 from .query import AGGREGATES, Binding, Expr, Filter, Negation, Query, Traversal
 from .schema import NUMERIC, Catalog, EntityType, PropType
@@ -333,8 +334,8 @@ class Compiler:
         return out
 
     # -- ranking -----------------------------------------------------------
-    def arm(self, e: Expr, k: int | None, t: Callable[[str], EntityType]) -> tuple[str, Callable[[DataFrame], DataFrame]]:
-        """The variable a rank expression ranks, and a function that keeps and numbers its best rows in __rank."""
+    def arm(self, e: Expr, k: int | None, t: Callable[[str], EntityType], dense: bool = False) -> tuple[str, Callable[[DataFrame], DataFrame]]:
+        """The variable a rank expression ranks, and a function that keeps its best rows and puts what orders them in __rank: a number if they are k or dense, else score and id."""
         if e.args[0].op != "prop":
             fail("T19", f"{e.op} ranks a property")
         var, prop = e.args[0].args
@@ -364,15 +365,15 @@ class Compiler:
             stats = base.agg(*S.bm25_statistics(F.col(prop), q))  # one row
             scored = df.where(S.may_match(col, q)).crossJoin(F.broadcast(stats)).withColumn("__s", S.bm25_score(col, q)).where(F.col("__s") > 0)
             extra = [c for c in scored.columns if c.startswith("bm_")]
-            best = scored.drop(*extra)
-            if k is not None:
-                best = best.orderBy(F.col("__s").desc(), key).limit(k)
-            return numbered(best, F.col("__s").desc(), key).drop("__s")
+            best, order = scored.drop(*extra), (F.col("__s").desc(), key)
+            if dense:
+                return numbered_all(best, "__rank", *order).drop("__s")
+            return best.withColumn("__rank", F.struct((-F.col("__s")).alias("s"), key.alias("id"))).drop("__s")
 
         return var, match
 
     def fused(self, e: Expr, k: int, t) -> tuple[str, Callable[[DataFrame], DataFrame]]:
-        arms = [self.arm(x, k if x.op == "nearest" else None, t) for x in e.args[:2]]
+        arms = [self.arm(x, k if x.op == "nearest" else None, t, dense=True) for x in e.args[:2]]
         if arms[0][0] != arms[1][0]:
             fail("T21", "both arms of rrf must rank one variable")
         c, key = (self.constant(e.args[2]) if len(e.args) > 2 else 60), f"{arms[0][0]}__id"
