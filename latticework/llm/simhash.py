@@ -17,6 +17,14 @@ Defined cases: null and empty texts have fingerprint 0 and are linked like any o
 texts of fewer words than a shingle are one shingle; repeated rows stay as rows; null
 doc_ids stay, and a component's id is its smallest non-null doc_id; an empty table
 gives an empty result; further columns pass.
+
+The corpus stage (one_of_similar) links texts whose sets of 5-word shingles have a Jaccard
+similarity of at least 0.8.  That is about ten differing bits of a fingerprint and up to
+twenty, more than parts of 64 bits can sort out, so candidates come from bands of
+min-hashes and the verdict is the exact similarity.  A pair of similarity s shares no
+bucket with probability (1 - s^5)^32: 3 in a million at 0.8, fewer above.  In each bucket all
+texts first meet its least one; only buckets that then hold several components compare
+all pairs, in blocks.  Shingles and texts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import drop, fresh, materialize, partitions, quoted, small_batches, text_bytes
 
 SHINGLE, LINK_BITS, BLOCK = 3, 3, 2048
+STAGE_SHINGLE, SIMILAR, BANDS, BAND_ROWS, SET_BLOCK = 5, 80, 32, 5, 256
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -227,7 +236,11 @@ def near_duplicates(docs: DataFrame, bits: int = LINK_BITS, block: int = BLOCK,
 def one_of_each(docs: DataFrame, bits: int = LINK_BITS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near-duplicates: of each component the document with the smallest (doc_id, text hash) stays, once."""
     prints, known = _classes(docs, bits, block, id_col, text_col)
-    both = prints.join(known, "fp", "left")
+    return _one_row(docs, prints.join(known, "fp", "left"), id_col, text_col)
+
+
+def _one_row(docs: DataFrame, both: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that have the smallest (doc_id, tag) of a root in both (doc_id, tag, root), once."""
     first = both.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tag")).alias("m"))
     i, t, i2, t2, r = fresh(docs, "sh_id", "sh_tag", "sh_id2", "sh_tag2", "sh_rank")
     stay = first.select(F.col("m.doc_id").alias(i2), F.col("m.tag").alias(t2)).hint("shuffle_hash")
@@ -235,3 +248,147 @@ def one_of_each(docs: DataFrame, bits: int = LINK_BITS, block: int = BLOCK, id_c
     kept = marked.join(stay, F.col(i).eqNullSafe(F.col(i2)) & (F.col(t) == F.col(t2)), "left_semi")
     # rows repeated whole: one of them
     return kept.dropDuplicates([i, t]).select(*[quoted(c) for c in docs.columns])
+
+
+def shingles(text: bytes, width: int = STAGE_SHINGLE):
+    """Sorted distinct XXH64 of the text's word shingles; a text of fewer words is one shingle."""
+    import numpy as np
+    import xxhash
+
+    words = text.lower().split()
+    n = max(1, len(words) - width + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(n)), dtype="<u8", count=n))
+
+
+def _buckets(texts: DataFrame, width: int) -> DataFrame:
+    """tag, bucket: each distinct text of texts (tag, text) in one bucket a band."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        random = np.random.default_rng(42)
+        by, plus = random.integers(0, 2**64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
+        by |= np.uint64(1)
+
+        def bands(text: bytes) -> list:
+            h = shingles(text, width)
+            least = np.min([(h[k : k + 4096] * by + plus).min(axis=1) for k in range(0, len(h), 4096)], axis=0)
+            rows = least.reshape(BANDS, BAND_ROWS)
+            return [xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)]
+
+        for batch in small_batches(batches):
+            found = np.array([bands(t) for t in text_bytes(batch.column(1))], dtype=np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, BANDS, dtype=np.int32)), pa.array(found.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["tag", "buckets"])
+
+    found = materialize(texts.mapInArrow(run, "tag long, buckets array<long>").dropDuplicates(["tag"]), "bands")
+    return found.select("tag", F.explode("buckets").alias("bucket"))
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """tag, shingles (eight bytes each)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in small_batches(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in text_bytes(batch.column(1))], pa.binary())], names=["tag", "shingles"])
+
+    return texts.mapInArrow(run, "tag long, shingles binary")
+
+
+def _similar(percent: int):
+    """Streams rows (g, p, q, tag, root, own, shingles) sorted by g, p, q; for each group a forest of the links that own rows have, over the roots known."""
+
+    def forest(tags, roots, own, sets) -> tuple[list, list]:
+        import numpy as np
+
+        label = np.unique(np.array(roots), return_inverse=True)[1]
+        a, b = [], []
+        if label.max() == 0:
+            return a, b
+        sets = [np.frombuffer(x, dtype="<u8") for x in sets]
+        size = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        holder = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(flat, kind="stable")
+        flat, holder = flat[order], holder[order]
+        for i in np.flatnonzero(own):
+            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            common = np.bincount(holder[at], minlength=len(sets))
+            near = np.flatnonzero(((100 + percent) * common >= percent * (size[i] + size)) & (label != label[i]))
+            for other, k in zip(*np.unique(label[near], return_index=True), strict=True):
+                a.append(tags[i])
+                b.append(tags[near[k]])
+                label[label == other] = label[i]
+        return a, b
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        key, rows = None, []
+
+        def done():
+            a, b = forest(*zip(*rows, strict=True)) if len(rows) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if a else None
+
+        for batch in batches:
+            columns = [batch.column(i) for i in range(7)]
+            for at in range(0, batch.num_rows, 256):
+                for g, p, q, *row in zip(*[c.slice(at, 256).to_pylist() for c in columns], strict=True):
+                    if (g, p, q) != key:
+                        if got := done():
+                            yield got
+                        key, rows = (g, p, q), []
+                    rows.append(row)
+        if got := done():
+            yield got
+
+    return run
+
+
+def similar_links(docs: DataFrame, percent: int = SIMILAR, width: int = STAGE_SHINGLE, block: int = SET_BLOCK, text_col: str = "text") -> DataFrame:
+    """v, root of the texts (tags) that have a text of at least that similarity: equal roots for linked ones."""
+    spark = docs.sparkSession
+    texts = docs.select(F.xxhash64(quoted(text_col)).alias("tag"), quoted(text_col).alias("text"))
+    rows = _buckets(texts, width)
+    # buckets of the same texts are one
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("tag")).alias("who"), F.min("tag").alias("least")).where("n > 1")
+    shared = shared.groupBy("n", "who").agg(F.min(F.struct("bucket", "least")).alias("b")).select("b.bucket", "b.least", "n")
+    members = materialize(rows.join(shared, "bucket"), "members")
+    some = members.select("tag").distinct()
+    sets = materialize(_sets(texts.join(some, "tag", "left_semi").dropDuplicates(["tag"]), width), "sets")
+    keys = ["g", "p", "q"]
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        ready = dealt.join(sets, "tag").select(*keys, "tag", "root", "own", "shingles")
+        return materialize(ready.repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(_similar(percent), "a long, b long"), "similar")
+
+    # each text against the least one of its buckets
+    stars = members.where("tag <> least").select(F.col("least").alias("g"), "tag").distinct()
+    blocks = stars.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    spokes = stars.join(blocks, "g").select("g", F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int").alias("p"), "tag", F.lit(False).alias("own"))
+    hubs = blocks.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"), F.col("g").alias("tag"), F.lit(True).alias("own"))
+    first = compared(spokes.union(hubs).select("g", "p", F.lit(0).alias("q"), "tag", F.col("tag").alias("root"), "own"))
+    roots = components(first)
+
+    # the buckets that hold several components still, all pairs of them
+    known = materialize(members.join(roots.withColumnRenamed("v", "tag"), "tag", "left").select("bucket", "tag", "n", F.coalesce("root", "tag").alias("root")), "known")
+    open_ = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    mine, blocks = F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int"), F.ceil(F.col("n") / block).cast("int")
+    dealt = known.where("n > 2").join(open_, "bucket").withColumn("blocks", blocks).select("*", mine.alias("mine"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least("mine", c).alias("p"), F.greatest("mine", c).alias("q")))
+    dealt = dealt.select(F.col("bucket").alias("g"), F.explode(pairs).alias("d"), "tag", "root").select("g", "d.p", "d.q", "tag", "root", F.lit(True).alias("own"))
+    second = compared(dealt)
+    return components(first.union(second)) if second.head(1) else roots
+
+
+def one_of_similar(docs: DataFrame, percent: int = SIMILAR, width: int = STAGE_SHINGLE, block: int = SET_BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near copies: of texts linked by a similarity of percent or more the document with the smallest (doc_id, text hash) stays, once."""
+    roots = similar_links(docs, percent, width, block, text_col).withColumnRenamed("v", "tag")
+    prints = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.xxhash64(quoted(text_col)).alias("tag"))
+    return _one_row(docs, prints.join(roots, "tag", "left").select("doc_id", "tag", F.coalesce("root", "tag").alias("root")), id_col, text_col)

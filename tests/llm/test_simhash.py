@@ -95,3 +95,62 @@ def test_one_of_each(docs, rows):
 
 def test_empty(empty):
     assert simhash.near_duplicates(empty).collect() == [] and simhash.one_of_each(empty).collect() == []
+
+
+def kept_similar(triples):
+    """doc_ids that stay when texts of 5-word Jaccard >= 0.8 are linked, over all pairs."""
+
+    def grams(t):
+        w = (t or "").encode().translate(LOWER).split()
+        return frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    sets = [grams(t) for _, t in triples]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) * 10 >= 8 * len(x | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (doc, _) in enumerate(triples):
+        least.setdefault(find(i), []).append(doc)
+    return [min(((d is None, d) for d in v), key=lambda x: (x[0], x[1] or 0))[1] for v in least.values()]
+
+
+def test_one_of_similar(docs, rows):
+    want = ordered([(d,) for d in kept_similar([(r[0], r[1]) for r in rows])])
+    for block in (256, 2):
+        out = simhash.one_of_similar(docs, block=block)
+        assert out.columns == docs.columns
+        assert got(out, "doc_id") == want
+
+
+def test_similar_stage_takes_copies_of_many_bits(spark, sf):
+    """Copies with edited words (5-word similarity 0.8 to 0.95) go, templates under 0.8 stay; most differ in more than three bits."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    made, wide = [], 0
+    for i in range(40):
+        text = [word() for _ in range(240)]
+        made.append((2 * i, " ".join(text)))
+        for k in rng.sample(range(3, 237), 1 + i % 8):
+            text[k] = word()
+        made.append((2 * i + 1, " ".join(text)))
+        wide += (one(made[-1][1]) ^ one(made[-2][1])).bit_count() > 3
+    base = [word() for _ in range(100)]
+    made += [(1000 + i, " ".join(base[:80] + [word() for _ in range(20 if i % 3 else 60)])) for i in range(30)]
+    want = sorted(kept_similar(made))
+    assert wide > 15 and 40 < len(want) < len(made) - 20
+    out = corpus_pipeline.simhash_stage(spark, spark.createDataFrame(made, "doc_id long, text string"), sf)
+    assert sorted(r.doc_id for r in out.collect()) == want
+
+
+def test_similar_empty(empty):
+    assert simhash.one_of_similar(empty).collect() == []
