@@ -160,6 +160,16 @@ GRAPH: dict[str, tuple[str, str | None]] = {
 }
 del GRAPH["expand_one_hop"]
 
+#: The bounds on keys in queries of that name and in their SQL; NAME_all goes without, from all suppliers
+_BOUNDS = {
+    "theta_join": ("$s.key < 20 $t.key < 20 ", " and s.s_suppkey < 20 and t.s_suppkey < 20"),
+    "undirected_neighbours": ("$s.key < 10 ", " where s < 10"),
+    "bound_edge_undirected": ("$s.key < 10 ", "s < 10 and "),
+    "reach_1_3": ("$s.key < 4 ", " where s_suppkey < 4"),
+    "reach_2_2": ("$s.key < 10 ", " where s_suppkey < 10"),
+}
+GRAPH |= {f"{n}_all": (GRAPH[n][0].replace(bound, ""), GRAPH[n][1].replace(sql, "")) for n, (bound, sql) in _BOUNDS.items()}
+
 
 def run(spark: SparkSession, sf_dir: str, text: str, params: dict | None = None) -> DataFrame:
     """A pattern query over the driver's tables."""

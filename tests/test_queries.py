@@ -3,6 +3,7 @@
 import datetime as dt
 import glob
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -61,3 +62,23 @@ def test_plans(spark, sf):
     assert "TakeOrderedAndProject" in plan and "EqualTo(c_mkt" in plan and "c_nationkey" not in plan
     plan = graph.QUERIES["anti_join_fast"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in plan and "text" not in plan
+
+
+def test_all_suppliers_are_sources(spark, sf, duck):
+    """Reach by breadth-first search from every supplier, on the links of the tables."""
+    for n in graph._BOUNDS:
+        assert not any(re.search(r"(key|where s) < \d", x) for x in graph.GRAPH[f"{n}_all"])
+    links = {}
+    for a, b in duck.execute("select distinct a.l_suppkey, b.l_suppkey from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber + 1 = b.l_linenumber").fetchall():
+        links.setdefault(a, set()).add(b)
+    suppliers = {r[0] for r in duck.execute("select s_suppkey from supplier").fetchall()}
+    want = set()
+    for s in suppliers:
+        front, seen = {s}, {s}
+        for _ in range(3):
+            want |= {(s, x) for x in front if x in links.get(x, ())}
+            front = {y for x in front for y in links.get(x, ())} - seen
+            seen |= front
+            want |= {(s, x) for x in front}
+    found = {(r.s, r.t) for r in graph.QUERIES["reach_1_3_all"](spark, sf).collect()}
+    assert found == {(s, t) for s, t in want if t in suppliers} and len({s for s, _ in found}) == len(suppliers) > 4
