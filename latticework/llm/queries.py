@@ -94,13 +94,8 @@ rep as (select doc_id, count(distinct i + k) as n from grams join twice using (d
 lines as (select doc_id, source, pos, line, trim(regexp_replace(lower(line), 'BLANKS+', ' ', 'g')) as norm
           from (select doc_id, source, unnest(range(len(ls))) as pos, unnest(ls) as line from (select doc_id, source, string_split(text, chr(10)) as ls from d))),
 worded as (select * from lines where norm <> ''),
-sized as (select *, length(norm) * count(*) over (partition by doc_id) >= sum(length(norm)) over (partition by doc_id) as long from worded),
-ranked as (select doc_id, norm, row_number() over (partition by doc_id order by not long, md5(norm)) as r from (select distinct doc_id, norm, long from sized)),
-sigs as (select doc_id, min(case when r = 1 then md5(norm) end) as s1, min(case when r = 2 then md5(norm) end) as s2 from ranked group by doc_id),
-signed as (select source, doc_id, norm, case when md5(norm) = s1 then coalesce(s2, s1) else s1 end as sig from worded join sigs using (doc_id)),
-above as (select source, norm from signed group by source, norm
-          having count(distinct sig) > 10 and 2 * count(distinct sig) >= count(distinct doc_id)),
-gone as (select doc_id, count(*) as lines, sum(len(string_split(norm, ' '))) as words from worded join above using (source, norm) group by doc_id),
+above as (select source, norm from worded group by source, norm having count(distinct doc_id) > 10),
+gone as (select doc_id, count(*) as lines, sum(len(string_split(worded.norm, ' '))) as words from worded join above on worded.source is not distinct from above.source and worded.norm = above.norm group by doc_id),
 dup as (select doc_id, count(*) - count(distinct line) as n from worded group by doc_id),
 s as (select w.doc_id, len(w.w) as n_words, length(coalesce(array_to_string(w.w, ''), '')) as word_chars,
              length(w.text) - length(translate(w.text, '#*$%&|<>', '')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines,
