@@ -5,7 +5,8 @@ built-in scans of the text; running lengths of both turn them into code point po
 
 Base kinds, leftmost and not overlapping within a kind: email, ip (parts at most 255),
 card (12 to 19 digits, Luhn), phone (international, 9 to 15 digits).  Further kinds are
-scored: a validator's verdict (IBAN: mod 97; national number: no impossible group) gives a
+scored: a validator's verdict (IBAN: mod 97; national number: no impossible group; access
+keys: letters and digits mixed) gives a
 base score, words of context shortly before the span raise it, and spans that reach
 `threshold` and touch no base span are added.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import let, quoted
 
-KINDS = ["email", "ip", "card", "phone", "iban", "national_id", "local_phone"]
+KINDS = ["email", "ip", "card", "phone", "iban", "national_id", "local_phone", "secret"]
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -34,6 +35,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+().-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,256}+(?![A-Za-z0-9_-])",
 }
 #: cheap conditions without which a kind has no match
 GUARDS = {
@@ -44,6 +46,7 @@ GUARDS = {
     "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"),
     "national_id": lambda t: t.rlike(r"[0-9]-[0-9]"),
     "local_phone": lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"),
+    "secret": lambda t: t.rlike(f"(?i){CONTEXT['secret']}"),
 }
 CONTEXT = {
     "email": r"mail|contact|correo|courriel|write",
@@ -53,8 +56,9 @@ CONTEXT = {
     "iban": r"iban|account|bank|konto|compte|cuenta",
     "national_id": r"ssn|social|security|taxpayer|national id|insurance",
     "local_phone": r"tel|phone|call|fax|mobil|cell|whatsapp",
+    "secret": r"token|secret|passw|credential|auth|api.?key|access.?key|private.?key",
 }
-BASE_SCORE = {"email": 80, "ip": 70, "card": 90, "phone": 70, "iban": 90, "national_id": 50, "local_phone": 40}
+BASE_SCORE = {"email": 80, "ip": 70, "card": 90, "phone": 70, "iban": 90, "national_id": 50, "local_phone": 40, "secret": 40}
 BOOST, REACH, THRESHOLD, BLOCK = 20, 40, 60, 1024
 
 
@@ -121,6 +125,8 @@ def valid(kind: str, m: Column) -> Column:
         return F.length(compact).between(15, 34) & mod97(compact)
     if kind == "national_id":
         return ~m.rlike("^(?:000|666|9)|-00-|-0000$")
+    if kind == "secret":  # letters and digits mixed, as no word has them
+        return (F.regexp_count(m, F.lit("[0-9]")) >= 4) & (F.regexp_count(m, F.lit("[A-Za-z]")) >= 4)
     return F.lit(True)
 
 
@@ -158,10 +164,10 @@ def _written(found: Column) -> Column:
 
 
 def report(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found (all spans) for every row."""
     count = lambda k: F.size(F.filter("found", lambda x: x["k"] == k)).cast("long")
     base = F.filter("found", lambda x: x["k"] < 4)
-    return find(docs, threshold, id_col, text_col).select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(F.encode(_written(base), "UTF-8"), 256).alias("base_sha256"), _written(F.col("found")).alias("spans"))
+    return find(docs, threshold, id_col, text_col).select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(F.encode(_written(base), "UTF-8"), 256).alias("base_sha256"), _written(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_found"))
 
 
 def redact(docs: DataFrame, threshold: int = THRESHOLD, text_col: str = "text") -> DataFrame:
