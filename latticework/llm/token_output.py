@@ -11,13 +11,15 @@ A record is doc_id (8 bytes), sequence number (4), tokens used (4), then seq_len
 bytes, padded with the end id; all little-endian.
 
 Defined cases: null and empty texts give one sequence that holds the end id only; a null
-doc_id is written as -1; repeated rows are sequences of their own; an empty table gives no
+doc_id is written as -1; long runs of blanks are cut off before they reach the tokenizer's
+regular expression, which would recurse; repeated rows are sequences of their own; an empty table gives no
 record; further columns don't matter.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -61,6 +63,25 @@ def tokenizer(ranks: bytes, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
+#: Unicode white space, in runs; the tokenizer's pattern recurses once for each character of a run
+BLANK_RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
+
+
+def encode(enc, text: str) -> list[int]:
+    """The ids of a text, whatever its runs of blanks.
+
+    A run is one token of the pattern, without its last blank where other characters follow: texts are cut
+    there, and the run goes to the merges as it is.  Patterns that look back or join a blank to what stands before it don't allow this.
+    """
+    out, at = [], 0
+    for m in BLANK_RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[at : m.start()])
+        out += enc._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+
 def tokenized(docs: DataFrame, ranks: bytes, pattern: str, seq_len: int = SEQ_LEN, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A written table: part, first (index of the document's first sequence in its part), n_seq, doc_id, ids (two bytes each)."""
 
@@ -73,7 +94,7 @@ def tokenized(docs: DataFrame, ranks: bytes, pattern: str, seq_len: int = SEQ_LE
         for batch in small_batches(batches, limit=2 << 20):
             first, n_seq, ids = [], [], []
             for text in text_bytes(batch.column(1)):
-                t = enc.encode_ordinary(text.decode("utf-8", "replace"))
+                t = encode(enc, text.decode("utf-8", "replace"))
                 t.append(end_id)
                 n = -(-len(t) // seq_len)
                 first.append(at)

@@ -1,4 +1,6 @@
 import math
+import random
+import struct
 from collections import defaultdict
 from hashlib import sha256
 
@@ -8,7 +10,7 @@ import pytest
 
 from latticework.llm import queries, token_output
 
-from .conftest import got
+from .conftest import got, ordered
 
 RANKS = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()
 
@@ -55,9 +57,43 @@ def test_query(spark, sf, real):
     found = got(out, "slot", "shard", "offset", "doc_id", "seq_no", "n_tokens")
     assert [r[0] for r in found] == list(range(len(found)))
     assert all(r[1] == r[0] // 8192 and r[2] == r[0] % 8192 * 1040 for r in found)
+    assert brute([*zip(real.doc_id.tolist(), real.text, strict=True)], 512) == got(out, "doc_id", "seq_no", "n_tokens", "record_sha256")
+    in_order(out.collect())
+
+
+def brute(pairs, seq_len):
+    """(doc_id, seq_no, n_tokens, record_sha256) of every record, made one by one."""
+    enc = token_output.tokenizer(RANKS, public_tokenizers.PATTERN)
+    out = []
+    for doc, text in pairs:
+        ids = [*enc.encode_ordinary(text or ""), 50256]
+        for k in range(0, len(ids), seq_len):
+            some = ids[k : k + seq_len]
+            raw = struct.pack(f"<qii{seq_len}H", -1 if doc is None else doc, k // seq_len, len(some), *some, *[50256] * (seq_len - len(some)))
+            out.append((doc, k // seq_len, len(some), sha256(raw).hexdigest()))
+    return ordered(out)
+
+
+def in_order(rows):
+    """Back through the permutation, the sequences of a document follow one another."""
+    at = {s: i for i, s in enumerate(token_output.feistel(np.arange(len(rows)), len(rows), queries.KEY).tolist())}
+    before = (None, 0)
+    for r in sorted(rows, key=lambda r: at[r.slot]):
+        assert r.seq_no == 0 or (r.doc_id, r.seq_no - 1) == before
+        before = (r.doc_id, r.seq_no)
+
+
+def test_blank_runs(spark):
+    """Runs that the tokenizer itself takes give its ids; a million blanks don't end the job."""
     enc = token_output.tokenizer(RANKS, public_tokenizers.PATTERN)
-    n = {d: len(enc.encode_ordinary(t)) + 1 for d, t in zip(real.doc_id, real.text, strict=True)}
-    assert sum(r[5] for r in found) == sum(n.values()) and len(found) == sum(math.ceil(x / 512) for x in n.values())
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choice(["a b", "x", "'s", " ", "\n", "1", "#", " " * 1500, "\n" * 999, "\t \n" * 600, "\u2003" * 1200, "\x1c" * 1200, "é", ". "]) for _ in range(rng.randint(1, 12)))
+        assert token_output.encode(enc, text) == enc.encode_ordinary(text)
+    made = spark.createDataFrame([(1, " " * 1_000_000), (2, " " * 999_999 + "x"), (3, "a" + " \n\t" * 400_000 + "b")], "doc_id long, text string")
+    out = token_output.record_digests(made, RANKS, public_tokenizers.PATTERN, queries.KEY)
+    n = {r[0]: r[1] for r in out.groupBy("doc_id").sum("n_tokens").collect()}
+    assert n[1] == 1_000_001 and n[2] == 1_000_000 and n[3] > 1
 
 
 def test_empty(empty):
