@@ -1,6 +1,7 @@
 """Sharding along a Hilbert curve: metadata quantised, ordered by curve index, cut into runs.
 
-Several metadata dimensions (host, language, size, id) are cut into equal-depth levels, a
+Several metadata dimensions (host, language, size, id) are cut into equal-depth levels (strings
+by their whole value), a
 document's levels are turned into its index on a Hilbert curve, and the order of (index, id,
 size, checksum) is cut into runs of equal counts, so that a shard spans a small box in every
 dimension and readers skip files by their minima and maxima.  DataFrame functions only.
@@ -57,7 +58,7 @@ def hilbert_index(levels: list[Column], bits: int = BITS) -> Column:
     """Index on the Hilbert curve of coordinates of `bits` bits each."""
     n = len(levels)
     digit, after = curve_tables(n)
-    table = lambda t: F.array(*map(F.lit, t))
+    table = lambda t: F.expr(f"array({', '.join(map(str, t))})")  # noqa: E731  one call, folded to a literal
     coords = F.array(*[x.cast("int") for x in levels])
 
     def step(acc: Column, q: Column) -> Column:
@@ -68,23 +69,44 @@ def hilbert_index(levels: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.array(*[F.lit(q) for q in range(bits - 1, -1, -1)]), F.struct(F.lit(0).alias("s"), F.lit(0).cast("long").alias("h")), step, lambda a: a["h"])
 
 
-def order_number(value: Column) -> Column:
-    """A number that grows with the first seven bytes of a string: enough to cut strings into levels."""
-    return F.conv(F.rpad(F.hex(F.encode(F.substring(F.coalesce(value, F.lit("")), 1, 7), "UTF-8").substr(1, 7)), 14, "0"), 16, 10).cast("long")
+def string_cuts(values: DataFrame, levels: int) -> dict[int, list[str]]:
+    """For rows (dim, value), nulls left out: the least value of every level of equal depth but the first, by dimension.
+
+    Whole strings are compared.  Counts per distinct value are pre-aggregated, sorted by range and summed up along
+    that order, so no task holds a dimension; what returns has at most `levels` rows a dimension.
+    """
+    spark = values.sparkSession
+    counts = values.where("value is not null").groupBy("dim", "value").count()
+    ranged = counts.repartitionByRange(partitions(spark), "dim", "value").sortWithinPartitions("dim", "value")
+    ranged = materialize(ranged.withColumn("part", F.spark_partition_id()), "level-values")
+    running = ranged.withColumn("inside", F.sum("count").over(Window.partitionBy("part", "dim").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)))
+    sums = ranged.groupBy("dim", "part").agg(F.sum("count").alias("n"))  # at most one row per partition and dimension
+    by_dim = Window.partitionBy("dim")
+    sums = sums.select("dim", "part", (F.sum("n").over(by_dim.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(by_dim).alias("total"))
+    level = F.expr(f"(coalesce(inside, 0) + before) * {levels} div total")
+    firsts = running.join(F.broadcast(sums), ["dim", "part"]).groupBy("dim", level.alias("level")).agg(F.min("value").alias("least")).collect()
+    out: dict[int, list[str]] = {}
+    for r in sorted(firsts, key=lambda r: (r.dim, r.level)):
+        out.setdefault(r.dim, []).append(r.least)
+    return {d: v[1:] for d, v in out.items()}
 
 
 def hilbert_shards(docs: DataFrame, n_shards: int = 8, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text", strings: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """doc_id, size, text_crc32, hilbert, shard, slot: shards of the curve whose counts are at most one apart, slots from 0 in each."""
     spark = docs.sparkSession
     text = F.encode(F.coalesce(quoted(text_col), F.lit("")), "UTF-8")
-    meta = docs.select(quoted(id_col).cast("long").alias("doc_id"), (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[order_number(quoted(s)).alias(f"d{k}") for k, s in enumerate(strings)])
+    meta = docs.select(quoted(id_col).cast("long").alias("doc_id"), (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[quoted(s).cast("string").alias(f"d{k}") for k, s in enumerate(strings)])
     meta = materialize(meta, "shard-meta")
-    dims = [*[f"d{k}" for k in range(len(strings))], "size", "doc_id"]
+    dims = ["size", "doc_id"]
+    named = string_cuts(meta.select(F.explode(F.array(*[F.struct(F.lit(k).alias("dim"), F.col(f"d{k}").alias("value")) for k in range(len(strings))])).alias("x")).select("x.*"), 1 << bits) if strings else {}
     # 2**bits - 1 boundaries a dimension: bounded, from a sketch that is pre-aggregated
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
     cuts = meta.agg(F.count("*").alias("rows"), *[F.percentile_approx(d, shares, 2000).alias(d) for d in dims]).first()
     level = lambda d: F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in sorted(set(cuts[d] or [0]))]), lambda x: x < F.coalesce(F.col(d), F.lit(-(2**62)))))
-    placed = meta.select("doc_id", "size", "text_crc32", hilbert_index([level(d) for d in dims], bits).alias("hilbert"))
+    # how many levels start at or before the string; one level holds equal strings, so a hot one is never divided
+    string_level = lambda k: F.coalesce(F.size(F.filter(F.array(*map(F.lit, named[k])), lambda x: x <= F.col(f"d{k}"))), F.lit(0)) if named.get(k) else F.lit(0)
+    levels = [*[F.when(F.col(f"d{k}").isNull(), 0).otherwise(string_level(k)) for k in range(len(strings))], *map(level, dims)]
+    placed = meta.select("doc_id", "size", "text_crc32", hilbert_index(levels, bits).alias("hilbert"))
     order = ["hilbert", "doc_id", "size", "text_crc32"]
     ranged = placed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     ranged = materialize(ranged.withColumn("at", F.monotonically_increasing_id()), "shard-order")

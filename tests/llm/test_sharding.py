@@ -51,6 +51,20 @@ def test_curve_order(docs):
     assert [r[2] for r in found] == sorted(r[2] for r in found)
 
 
+def test_levels_of_alike_strings(spark):
+    """Long common beginnings, a hot value, ties and nulls: levels follow the whole string, and each holds its share."""
+    hosts = [f"https://www.a-common-beginning.example/host{k:02d}/" for k in range(50)]
+    made = [(0, h) for h in hosts for _ in range(4)] + [(0, hosts[7])] * 100 + [(0, None)] * 9 + [(1, "only")] * 30
+    cuts = sharding.string_cuts(spark.createDataFrame(made, "dim int, value string"), 32)
+    assert cuts.get(1, []) == [] and cuts[0] == sorted(set(cuts[0])) and 18 <= len(cuts[0]) <= 31 and set(cuts[0]) <= set(hosts)
+    depth = Counter(sum(c <= v for c in cuts[0]) for d, v in made if d == 0 and v)
+    assert max(n for level, n in depth.items() if level != max(depth, key=depth.get)) <= 2 * 300 / 32
+    docs = spark.createDataFrame([(i, "t", "en", h) for i, (d, h) in enumerate(made) if d == 0], "doc_id long, text string, lang string, source string")
+    found = sharding.hilbert_shards(docs, 8).join(docs.select("doc_id", "source"), "doc_id").groupBy("shard").agg(F.countDistinct("source").alias("n")).collect()
+    assert sum(r.n for r in found) < 4 * 51  # not every host in every shard
+    checked(got(sharding.hilbert_shards(docs, 8), "doc_id", "size", "text_crc32", "shard", "slot"), [(i, "t") for i, (d, _) in enumerate(made) if d == 0])
+
+
 def test_native_and_empty(docs, empty):
     plan = sharding.hilbert_shards(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
