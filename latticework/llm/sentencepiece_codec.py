@@ -2,12 +2,12 @@
 
 Normalisation walks the text by longest prefixes of the model's compiled character
 map (a double-array trie) and records, for every normalised byte, the original byte
-it came from.  The normalised text is cut into words that no piece of the vocabulary
-can cross; each distinct word is merged once, by the model's own scores, and kept in
-a bounded cache.  Where the character map is empty and normalisation only marks spaces,
-the library merges and the alignment is an array computed as a whole.  Every piece is
-projected through the recorded alignment to a span of original bytes; byte-fallback
-pieces share the span of their character.
+it came from; what lies between the bytes that can begin a rule is copied as a whole.
+The normalised text is cut into words that no piece of the vocabulary can cross; each
+distinct word is merged once, by the model's own scores, and kept in a bounded cache (a
+model without rules leaves merging to the library, which gives the same ids faster).
+Every piece is projected through the recorded alignment to a span of original bytes;
+byte-fallback pieces share the span of their character.
 
 Ids equal those of the sentencepiece library for BPE models (no begin or end ids, no
 sampling); decoding is the library's own decode(ids).
@@ -23,6 +23,7 @@ import heapq
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
@@ -44,6 +45,13 @@ class CharMap:
             self.units = struct.unpack_from(f"<{size // 4}I", blob, 4)
             self.strings = blob[4 + size :]
 
+    def heads(self) -> set[int]:
+        """The bytes that begin a rule; rules begin where characters do."""
+        if not self.units:
+            return set()
+        base = (self.units[0] >> 10) << ((self.units[0] & (1 << 9)) >> 6)
+        return {c for c in range(1, 256) if c & 0xC0 != 0x80 and base ^ c < len(self.units) and self.units[base ^ c] & ((1 << 31) | 0xFF) == c}
+
     def longest(self, text: bytes, at: int) -> tuple[int, int] | None:
         """(length, offset of the replacement) of the longest prefix of text[at:] in the map."""
         if not self.units:
@@ -109,62 +117,88 @@ class Codec:
         self.first = [p.piece.startswith(SPACE) for p in m.pieces]
         self.unused = {p.piece for p in m.pieces if p.type == 5}
         self.user.sort(key=len, reverse=True)
+        heads = self.charmap.heads() | {u.encode()[0] for u in self.user}
+        # a rule can begin at these bytes and nowhere else
+        self.heads = re.compile(b"[" + b"".join(b"\\x%02x" % c for c in sorted(heads)) + b"]") if heads else None
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids) or self.user or self.unused or self.suffix or not self.escape
+        self.same = not self.heads and not self.squeeze and self.dummy and not crossing
         # a word: a run of spaces with what follows it; no piece joins a letter to a space after it
         self.words = None if crossing else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
     # -- normalisation -----------------------------------------------------
-    def normalize(self, text: bytes) -> tuple[bytes, list[int]]:
-        """Normalised bytes and, for each of them and for the end, the original byte it starts from."""
-        space = SPACE.encode() if self.escape else b" "
-        steps: list[tuple[bytes, int, int]] = []  # replacement, from, to
-        at = 0
-        while at < len(text):
-            user = next((u for u in map(str.encode, self.user) if text.startswith(u, at)), None)
-            if user:
-                steps.append((user, at, at + len(user)))
-                at += len(user)
-                continue
-            hit = self.charmap.longest(text, at)
-            if hit:
-                steps.append((self.charmap.replacement(hit[1]), at, at + hit[0]))
-                at += hit[0]
-            else:
+    def walk(self, text: bytes) -> Iterator[tuple[bytes, int, int, bool]]:
+        """(normalised, from, to, whether copied): the longest rule wherever one begins, and what lies between."""
+        at, copied, n = 0, 0, len(text)
+        users = [*map(str.encode, self.user)]
+        while at < n:
+            m = self.heads.search(text, at) if self.heads else None
+            if not m:
+                break
+            at = m.start()
+            user = next((u for u in users if text.startswith(u, at)), None)
+            hit = None if user else self.charmap.longest(text, at)
+            if not user and not hit:  # a character that no rule covers
                 b = text[at]
-                width = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-                steps.append((text[at : at + width], at, at + width))
-                at += width
-        out, align = bytearray(), []
-        begin = 0
-        if self.squeeze:
-            while begin < len(steps) and steps[begin][0] == b" ":
-                begin += 1
-        if begin == len(steps):
-            return b"", [len(text)]
-
-        def add(piece: bytes, origin: int):
-            out.extend(piece)
-            align.extend([origin] * len(piece))
-
-        if self.dummy and not self.suffix:
-            add(space, steps[begin][1])
-        after_space, end = self.squeeze, steps[begin][1]
-        for piece, a, b in steps[begin:]:
+                at += 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
+                continue
+            if copied < at:
+                yield text[copied:at], copied, at, True
+            end = at + (len(user) if user else hit[0])
+            yield user or self.charmap.replacement(hit[1]), at, end, False
+            at = copied = end
+        if copied < n:
+            yield text[copied:], copied, n, True
+
+    def normalize(self, text: bytes):
+        """Normalised bytes and, as an array, for each of them and for the end the original byte it starts from."""
+        import re
+
+        import numpy as np
+
+        steps = self.walk(text)
+        if self.squeeze:  # blanks by themselves, as they may go
+            cut = ((x, a, b, c, [*re.finditer(rb"[^ ]+| ", x)] if c else None) for x, a, b, c in steps)
+            steps = ((m[0], a + m.start(), a + m.end(), True) if m else (x, a, b, c) for x, a, b, c, ms in cut for m in (ms or [None]))
+        out, aligns = [], []
+        space = SPACE.encode() if self.escape else b" "
+
+        def add(piece: bytes, origin: int, copied: bool) -> None:
+            if not copied:
+                new = piece.replace(b" ", space)
+                out.append(new)
+                aligns.append(np.full(len(new), origin, np.int32))
+                return
+            out.append(piece.replace(b" ", space))
+            own = np.arange(origin, origin + len(piece), dtype=np.int32)
+            if len(out[-1]) > len(piece):
+                own = np.repeat(own, np.where(np.frombuffer(piece, np.uint8) == 32, len(space), 1))
+            aligns.append(own)
+
+        begun, after_space, end = False, self.squeeze, 0
+        for piece, a, b, copied in steps:
+            if not begun:
+                if self.squeeze and piece == b" ":
+                    continue
+                begun = True
+                if self.dummy and not self.suffix:
+                    add(b" ", a, False)
             if self.squeeze and after_space:
                 piece = piece.lstrip(b" ")
             if piece:
-                add(piece.replace(b" ", space), a)
-                after_space = piece.endswith(b" ")
-            if not self.squeeze:
-                after_space = False
+                add(piece, a, copied)
+                after_space = self.squeeze and piece.endswith(b" ")
             end = b
+        if not begun:
+            return b"", np.array([len(text)], np.int32)
+        norm, align = b"".join(out), np.concatenate(aligns)
         if self.squeeze:
-            while out.endswith(space):
-                del out[-len(space) :], align[-len(space) :]
-                end = align[-1] if align else end
+            while norm.endswith(space):
+                norm = norm[: -len(space)]
+                end = int(align[len(norm)])
+            align = align[: len(norm)]
         if self.dummy and self.suffix:
-            add(space, end)
-        return bytes(out), [*align, end]
+            norm, align = norm + space, np.r_[align, np.full(len(space), end, np.int32)]
+        return norm, np.r_[align, np.int32(end)]
 
     # -- encoding ----------------------------------------------------------
     def _merge(self, word: str) -> list[str]:
@@ -207,93 +241,69 @@ class Codec:
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
             new = [*dict.fromkeys(words)]
-        # where normalisation is plain the library merges new words, joined by single spaces, many times faster than Python
-        quick = [w for w in new if len(w) > 1 and w[0] == SPACE and w[1] != SPACE] if self.plain and self.dummy else []
-        if quick:
-            ids = self.library.encode("".join(quick)[1:])
-            cuts = [k for k, i in enumerate(ids) if self.first[i]]
-            assert len(cuts) == len(quick)
-            for w, a, b in zip(quick, cuts, [*cuts[1:], len(ids)], strict=True):
-                self.cache[w] = (ids[a:b], ",".join(map(str, ids[a:b])))
         for w in new:
-            if w not in self.cache:
-                ids = self._ids(w)
-                self.cache[w] = (ids, ",".join(map(str, ids)))
+            ids = self._ids(w)
+            self.cache[w] = (ids, ",".join(map(str, ids)))
 
-    @property
-    def plain(self) -> bool:
-        """Whether normalisation only marks spaces, so that ids need no alignment."""
-        return not self.charmap.units and not self.squeeze and not self.user and self.escape and not self.suffix
+    def _merged(self, norm: bytes, text: bytes) -> tuple[list[int], str]:
+        """The ids of a normalised text, and the same in decimal joined by commas.
 
-    def _words(self, text: bytes) -> list[str]:
-        return self.words.findall(self.normalize(text)[0].decode("utf-8", "replace"))
-
-    def encode(self, text: bytes) -> tuple[list[int], str]:
-        """ids, and the same in decimal joined by commas."""
-        if self.words is None or self.plain:  # nothing to align for ids alone
+        The library takes no normalised text.  Where no rule can apply it makes of the text itself what walk() makes of it,
+        and merges many times faster than Python; else distinct words are merged here, once each.
+        """
+        if self.same:
             ids = self.library.encode(text.decode("utf-8", "replace"))
             decimal = self.decimal
             return ids, ",".join([decimal[i] for i in ids])
-        words = self._words(text)
-        cache = self.cache
+        words = self.words.findall(norm.decode())
         try:
-            got = [cache[w] for w in words]
+            got = [*map(self.cache.__getitem__, words)]
         except KeyError:
             self.learn(words)
-            got = [cache[w] for w in words]
-        ids: list[int] = []
-        for x in got:
-            ids += x[0]
-        return ids, ",".join([x[1] for x in got])
+            got = [*map(self.cache.__getitem__, words)]
+        return [*chain.from_iterable([x[0] for x in got])], ",".join([x[1] for x in got])
 
-    def spans(self, text: bytes) -> list[tuple[int, int, int]]:
-        """(id, from, to) for every id: bytes of the original text."""
-        if self.words is None:
-            raise ValueError("this model's pieces cross words; spans are not supported")
-        norm, align = self.normalize(text)
-        words = self.words.findall(norm.decode("utf-8", "replace"))
-        self.learn(words)
-        out, at = [], 0
-        for w in words:
-            raw, i, ids = w.encode(), 0, self.cache[w][0]
-            end = at + len(raw)
-            while i < len(ids):
-                size = self.sizes[ids[i]]
-                if size:
-                    pieces = 1
-                else:  # one character in bytes, or unknown
-                    b = norm[at]
-                    size = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-                    pieces = size if self.bytes_ else 1
-                out += [(x, align[at], align[at + size]) for x in ids[i : i + pieces]]
-                i += pieces
-                at += size
-            assert at == end
-        return out
+    def encode(self, text: bytes) -> tuple[list[int], str]:
+        """ids, and the same in decimal joined by commas."""
+        if self.words is None:  # pieces cross words: the library's ids, without alignment
+            ids = self.library.encode(text.decode("utf-8", "replace"))
+            return ids, ",".join([self.decimal[i] for i in ids])
+        return self._merged(self.normalize(text)[0], text)
 
     def aligned(self, text: bytes):
-        """(ids, starts, ends) as arrays: as spans(), at once for the whole text where normalisation is plain."""
+        """(ids, starts, ends, decimal): arrays of ids and of the bytes of the original text they stand for, and the ids as text."""
         import numpy as np
 
-        if not (self.plain and self.dummy):
-            got = np.array(self.spans(text), np.int32).reshape(-1, 3)
-            return got[:, 0], got[:, 1], got[:, 2]
-        clean = text.decode("utf-8", "replace")
-        ids = np.array(self.library.encode(clean), np.int32)
+        if self.words is None:
+            raise ValueError("this model's pieces cross words; spans are not supported")
+        norm, align = self.normalize(text)
+        listed, decimal = self._merged(norm, text)
+        ids = np.array(listed, np.int32)
         if not len(ids):
-            return ids, ids, ids
-        raw = np.frombuffer(clean.encode(), np.uint8)
-        # normalised: a mark of three bytes, then the text with three bytes for each space
-        align = np.r_[0, 0, 0, np.repeat(np.arange(len(raw), dtype=np.int32), np.where(raw == 32, 3, 1)), len(raw)]
+            return listed, ids, ids, ""
         sizes = self.widths[ids]
         lone = sizes == 0
-        ends = np.cumsum(np.where(lone, 1, sizes))
-        starts, ends = align[np.r_[0, ends[:-1]]], align[ends]
-        if lone.any():
-            heads = np.flatnonzero(np.r_[raw & 0xC0 != 0x80, True])
+        if not lone.any():
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+        else:
+            heads = np.flatnonzero(np.r_[np.frombuffer(norm, np.uint8) & 0xC0 != 0x80, True])  # characters of the normalised text
+            if self.bytes_:  # one byte each, and the span of the whole character
+                ends = np.cumsum(np.where(lone, 1, sizes))
+                starts = np.r_[0, ends[:-1]]
+            else:  # unknown: one character each
+                at, starts, ends = 0, np.zeros_like(sizes), np.zeros_like(sizes)
+                for k, size in enumerate(sizes.tolist()):
+                    starts[k] = at
+                    at = ends[k] = at + (size or int(heads[np.searchsorted(heads, at, "right")]) - at)
             starts[lone] = heads[np.searchsorted(heads, starts[lone], "right") - 1]
             ends[lone] = heads[np.searchsorted(heads, ends[lone], "left")]
-        return ids, starts.astype(np.int32), ends.astype(np.int32)
+        return listed, align[starts], align[ends], decimal
+
+    def spans(self, text: bytes) -> list[tuple[int, int, int]]:
+        """(id, from, to) for every id: bytes of the original text."""
+        ids, starts, ends, _ = self.aligned(text)
+        return [*zip(ids, starts.tolist(), ends.tolist(), strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -316,7 +326,7 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
             texts = text_bytes(batch.column(1))
             if spans:
                 got = [codec.aligned(t) for t in texts]
-                ids = [g[0].tolist() for g in got]
+                ids = [g[0] for g in got]
                 more = [pa.array([g[k] for g in got], pa.list_(pa.int32())) for k in (1, 2)]
             else:
                 ids, more = [codec.encode(t)[0] for t in texts], []
@@ -340,11 +350,10 @@ def token_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
         for batch in small_batches(batches, limit=4 << 20):
             n, a, b, c = [], [], [], []
             for text in text_bytes(batch.column(1)):
-                ids, starts, ends = codec.aligned(text)
-                listed = ids.tolist()
-                n.append(len(listed))
-                a.append(sha(",".join([codec.decimal[i] for i in listed]).encode()))
-                b.append(sha(codec.decode(listed).encode()))
+                ids, starts, ends, decimal = codec.aligned(text)
+                n.append(len(ids))
+                a.append(sha(decimal.encode()))
+                b.append(sha(codec.decode(ids).encode()))
                 c.append(sha(starts.astype("<i4").tobytes() + ends.astype("<i4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *map(pa.array, (a, b, c))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 

@@ -31,14 +31,37 @@ def test_query(spark, sf, real, library):
     assert got(queries.op9_sentencepiece(spark, sf), *COLUMNS) == brute(library, zip(real.doc_id.tolist(), real.text, strict=True))
 
 
+def by_pieces(library, raw):
+    """Spans from the library's pieces alone: a mark stands before the text, and for each of its spaces."""
+    norm = b"\xe2\x96\x81" + raw.replace(b" ", b"\xe2\x96\x81")
+    origin = [0, 0, 0]
+    for k, c in enumerate(raw):
+        origin += [k] * (3 if c == 32 else 1)
+    origin.append(len(raw))
+    out, at = [], 0
+    for i in library.encode(raw.decode()):
+        piece = library.id_to_piece(i)
+        if library.is_byte(i):
+            a, b = at, at + 1
+            while norm[a] & 0xC0 == 0x80:
+                a -= 1
+            while b < len(norm) and norm[b] & 0xC0 == 0x80:
+                b += 1
+            at += 1
+        else:
+            a, b = at, at + len(piece.encode())
+            at = b
+        out.append((i, origin[a], origin[b]))
+    return out
+
+
 def test_spans(library, rows):
-    """Spans from the walk and from the array agree, follow each other, and cover the text."""
+    """Spans are those of a walk over the library's pieces, follow each other, and cover the text."""
     codec = sentencepiece_codec.Codec(sentencepiece_codec.load_model(PATH))
     for text in {r[1] or "" for r in rows}:
         raw = text.encode()
         walked = codec.spans(raw)
-        ids, starts, ends = codec.aligned(raw)
-        assert walked == [*zip(ids.tolist(), starts.tolist(), ends.tolist(), strict=True)] and ids.tolist() == library.encode(text)
+        assert walked == by_pieces(library, raw) and [x[0] for x in walked] == library.encode(text)
         at = 0
         for i, a, b in walked:
             assert a <= at <= b and (a == at or codec.sizes[i] == 0)
@@ -102,3 +125,11 @@ def test_documents(docs, empty, rows):
     assert out.columns == ["doc_id", "ids", "decoded", "starts", "ends"] and out.count() == len(rows)
     assert out.where("size(ids) <> size(starts) or size(ids) <> size(ends)").count() == 0
     assert sentencepiece_codec.encode_documents(empty, model).collect() == [] and sentencepiece_codec.token_digests(empty, model).collect() == []
+
+
+def test_own_merges(library, rows):
+    """Without the library's help the words' own merges give its ids too."""
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.load_model(PATH))
+    codec.same = False
+    for text in {r[1] or "" for r in rows}:
+        assert codec.spans(text.encode()) == by_pieces(library, text.encode())
