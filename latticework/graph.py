@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +24,10 @@ from .store import Commit, Conflict, Store
 MODES = ("append", "merge", "overwrite")
 
 
+class ResourceLimit(ValueError):
+    """A mutation over the limit that the graph was opened with."""
+
+
 class IntegrityError(ValueError):
     """A write that would break a rule; `kind` names it."""
 
@@ -29,10 +36,16 @@ class IntegrityError(ValueError):
         self.kind = kind
 
 
+#: how many conflicts of a merge an error lists; all of them are in a DataFrame
+PREVIEW = 1000
+
+
 class MergeConflicts(ValueError):
-    def __init__(self, conflicts: list[tuple[str, str, str]]):
-        super().__init__(f"{len(conflicts)} conflicts, first {conflicts[0]}")
-        self.conflicts = conflicts
+    """conflicts: the first of them (type, id, kind), PREVIEW at most; total: how many there are; found: type, id, conflict of each, None if a rule was broken."""
+
+    def __init__(self, conflicts: list[tuple[str, str, str]], total: int = 1, found: DataFrame | None = None):
+        super().__init__(f"{total} conflicts, first {conflicts[0]}")
+        self.conflicts, self.total, self.found = conflicts, total, found
 
 
 @dataclass
@@ -147,8 +160,9 @@ class Draft:
 class Graph:
     """A graph in a folder that all executors can read."""
 
-    def __init__(self, spark: SparkSession, root: str, embed=None):
-        self.spark, self.store, self.embed = spark, Store(spark, root), embed
+    def __init__(self, spark: SparkSession, root: str, embed=None, mutation_rows: int | None = None):
+        """embed: text and dimension to a vector.  mutation_rows: how many rows of a type one mutation may write; None for no limit."""
+        self.spark, self.store, self.embed, self.mutation_rows = spark, Store(spark, root), embed, mutation_rows
         if not self.store.latest()[1]:
             raise FileNotFoundError(f"no graph in {root}")
 
@@ -304,6 +318,9 @@ class Graph:
             n[t.kind] += getattr(self, f"_{what}")(draft, compiler, t, values, where, n)
         if not any(n.values()):
             return Result(None)
+        for part, p in draft.parts.items() if self.mutation_rows is not None else ():
+            if p.rows is not None and len(p.rows.select("id").head(self.mutation_rows + 1)) > self.mutation_rows:
+                raise ResourceLimit(f"{part}: more than {self.mutation_rows} rows in one mutation; load() has no limit")
         return Result(self._finish(draft, branch, {"op": "mutate", "query": q.name}).id, n["node"], n["edge"])
 
     def _values(self, compiler: Compiler, t: EntityType, values: dict[str, Expr]) -> dict:
@@ -388,7 +405,13 @@ class Graph:
         for t in catalog.types.values():
             if a.tables.get(t.name, []) == b.tables.get(t.name, []):
                 continue
-            d = versions.diff(*(self.store.table(c.tables.get(t.name, []), t.struct) for c in (a, b)))
+            mine, theirs = a.tables.get(t.name, []), b.tables.get(t.name, [])
+            sides = [self.store.table(x, t.struct) for x in (mine, theirs)]
+            same = next((k for k, (x, y) in enumerate(zip(mine, theirs, strict=False)) if x != y), min(len(mine), len(theirs)))
+            if same:  # only what the layers above the common ones name can differ
+                ids = self.store.touched([*mine[same:], *theirs[same:]])
+                sides = [s.join(ids, "id", "left_semi") for s in sides]
+            d = versions.diff(*sides)
             part = d.select(F.lit(t.kind).alias("kind"), F.lit(t.name).alias("type"), "id", "op", F.to_json("before").alias("before"), F.to_json("after").alias("after"))
             out = part if out is None else out.union(part)
         return out
@@ -411,6 +434,29 @@ class Graph:
         c = self.commit_at(commit)
         return self.diff(c.parents[0], c.id)
 
+    def commit_changes_page(self, commit: str, token: str | None = None, max_rows: int = 1000, max_bytes: int = 4 << 20) -> tuple[list[dict], str | None]:
+        """A page of a commit's changes, ordered by kind (nodes first), type and id, and the token of the next page, None behind the last.
+
+        A page ends at max_rows rows or before the row that would exceed max_bytes of JSON images; it has one row at least.
+        """
+        changes = self.commit_changes(commit)
+        if token is not None:
+            kind, type_name, id_ = json.loads(token)
+            at = F.struct((F.col("kind") == "edge").alias("k"), F.col("type").alias("t"), F.col("id").alias("i"))
+            changes = changes.where(at > F.struct(F.lit(kind == "edge"), F.lit(type_name), F.lit(id_)))
+        found, size, page = changes.orderBy(F.col("kind") == "edge", "type", "id").limit(max_rows + 1).collect(), 0, []
+        for r in found[:max_rows]:
+            size += len(r.before or "") + len(r.after or "")
+            if page and size > max_bytes:
+                break
+            page.append(r.asDict())
+        last = page[-1] if page and len(page) < len(found) else None
+        return page, json.dumps([last["kind"], last["type"], last["id"]]) if last else None
+
+    def cursor(self, branch: str = "main") -> str:
+        """Where a feed that starts now begins: poll() after it gives later commits only."""
+        return self.commit_at(branch).id
+
     def poll(self, after: str | None = None, branch: str = "main", max_commits: int = 128) -> list[tuple[str, DataFrame]]:
         """The next commits of a branch's first-parent chain after a cursor (None: from the beginning), oldest first, with their changes; the last id is the next cursor."""
         all_, chain, c = self.store.commits(), [], self.commit_at(branch)
@@ -421,7 +467,8 @@ class Graph:
                     raise KeyError(f"{after} is not in the history of {branch}")
                 break
             c = all_[c.parents[0]]
-        return [(c.id, self.commit_changes(c.id)) for c in chain[::-1] if c.parents][: min(max_commits, 512)]
+        wanted = [c for c in chain[::-1] if c.parents][: min(max_commits, 512)]
+        return [(c.id, self.commit_changes(c.id)) for c in wanted]
 
     def baseline(self, branch: str = "main") -> tuple[str, DataFrame]:
         """A cursor and all records as of it: poll() goes on from there."""
@@ -466,10 +513,11 @@ class Graph:
             if sides[2] in sides[:2]:
                 continue
             both = cut(versions.merge(*(self.store.table(layers, x.struct) for layers in sides), changed_only=True))
-            conflicts += [(x.name, r.id, r.conflict) for r in both.where("conflict is not null").select("id", "conflict").limit(1000).collect()]
+            conflicts.append(both.where("conflict is not null").select(F.lit(x.name).alias("type"), "id", "conflict"))
             draft.parts[x.name] = Pending(both.where("row is not null").select("row.*"), both.where("row is null").select("id"))
-        if conflicts:
-            raise MergeConflicts(conflicts)
+        found = reduce(DataFrame.union, conflicts) if conflicts else None
+        if found is not None and (total := found.count()):
+            raise MergeConflicts([tuple(r) for r in found.orderBy("type", "id").limit(PREVIEW).collect()], total, found)
         try:
             self._finish(draft, target, {"op": "merge", "source": source}, [t.id, s.id])
         except IntegrityError as e:
@@ -502,11 +550,18 @@ class Graph:
                 layers = [{"data": self.store.write(old.select("id", *ends, *cols), n), "gone": None}]
             if layers:
                 tables[n] = layers
-            for s in steps:
-                if layers and s[0] == "AddConstraint" and s[1] == n:
-                    clash = integrity.duplicates(self.store.table(layers, t.struct), s[3]).head(1)
-                    if clash:
-                        raise IntegrityError("Unique", f"{n}: {clash[0].asDict()}")
+            added = {s[2] for s in steps if s[0] == "AddConstraint" and s[1] == n}
+            if layers and added:  # rows that are there must keep to the new rules
+                rows = self.store.table(layers, t.struct)
+                broken = [("Unique", integrity.duplicates(rows, s[3])) for s in steps if s[:3] == ("AddConstraint", n, "unique")]
+                if added & {"range", "check"}:
+                    broken.append(("Value", integrity.bad_values(rows, t)))
+                if "card" in added:
+                    sources = self.store.table(draft.base.tables.get(moved.get(t.src, t.src), []), new.types[t.src].struct).select(F.col("id").alias("src"))
+                    broken.append(("Cardinality", integrity.cardinality(rows, sources, *t.card)))
+                for kind, df in broken:
+                    if bad_row := df.head(1):
+                        raise IntegrityError(kind, f"{n}: {bad_row[0].asDict()}")
         self.store.commit("main", [draft.base.id], schema, tables, draft.base.id, {"op": "schema"})
         return steps
 
@@ -525,10 +580,22 @@ class Graph:
             self.store.commit(branch, [c.id], c.schema, tables, c.id, {"op": "optimize"})
         return done
 
-    def cleanup(self, keep_versions: int = 10) -> list[str]:
-        """Delete data that neither a branch head nor one of the newest commits refers to."""
+    def ensure_indices(self, target: str | int = "main") -> list[dict]:
+        """type, property, kind, built: the indexes that the schema asks for.  Parquet's own statistics prune scans and searches are exact, so none has to be built."""
+        kinds = {"String": "text", "Vector": "vector", "Blob": None}
+        asked = lambda t: sorted({c for cols in (t.key, *t.unique, *t.index) for c in cols} | ({"src", "dst"} if t.kind == "edge" else set()))
+        of = lambda t, c: "ordered" if c in ("src", "dst") or c in t.key else kinds.get(t.props[c].scalar, "ordered")
+        return [{"type": t.name, "property": c, "kind": of(t, c), "built": False} for t in self.catalog(target).types.values() for c in asked(t) if of(t, c)]
+
+    def cleanup(self, keep_versions: int | None = 10, older_than: dt.timedelta | None = None) -> list[str]:
+        """Delete data that no branch head refers to, nor one of the newest keep_versions commits, nor one that is younger than older_than."""
+        if keep_versions is None and older_than is None:
+            raise ValueError("keep_versions or older_than is needed")
         commits = self.store.commits()
-        kept = [*sorted(commits.values(), key=lambda c: -c.version)[: max(1, keep_versions)], *(commits[x] for x in self.branches().values())]
+        newest = sorted(commits.values(), key=lambda c: -c.version)
+        since = dt.datetime.now(dt.UTC) - older_than if older_than is not None else None
+        young = [c for c in newest if since and dt.datetime.fromisoformat(c.time) >= since]
+        kept = [*newest[: max(1, keep_versions or 0)], *young, *(commits[x] for x in self.branches().values())]
         used = {f for c in kept for layers in c.tables.values() for x in layers for f in x.values() if f}
         gone = [f for f in self.store.folders() if f not in used]
         for f in gone:

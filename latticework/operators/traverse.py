@@ -30,8 +30,9 @@ def reach(sources: DataFrame, pairs: DataFrame, low: int, high: int, same_type:
     """(s, n): what each source (column s) first reaches at a hop within [low, high].
 
     A source counts as visited from the start where both ends are of one type; a self-edge
-    shows its own node again but never re-enters the frontier.  Beyond three hops the state
-    is written after each hop, so the plan doesn't grow with the bound.
+    shows its own node again but never re-enters the frontier.  The frontier of each hop but
+    the last is written, so no hop is computed twice and the plan doesn't grow with the bound;
+    where nothing new is reached, the walk ends.
     """
     frontier = sources.select("s").distinct().withColumn("n", F.col("s"))
     if not same_type:  # the next hop has nothing to start from
@@ -45,11 +46,13 @@ def reach(sources: DataFrame, pairs: DataFrame, low: int, high: int, same_type:
         step = frontier.join(step_pairs, frontier["n"] == F.col("via")).select("s", F.col("n").alias("at"), F.col("to").alias("n"))
         loops = step.where(F.col("at") == F.col("n")).select("s", "n") if same_type else None
         new = (step.where(F.col("at") != F.col("n")) if same_type else step).select("s", "n").distinct().join(visited, ["s", "n"], "left_anti")
-        if high > 3:
+        if hop < high:
             new = cut(new)
         if hop >= low:
             now = new.union(loops) if loops is not None else new
             found = now if found is None else found.union(now)
+        if hop < high and new.isEmpty():
+            break
         visited = visited.union(new)
         frontier = new
     return frontier.limit(0) if found is None else found.distinct()

@@ -32,6 +32,12 @@ class Scope:
     outer: set[str] = field(default_factory=set)
 
 
+def instant(text: str) -> dt.datetime:
+    """A time in UTC without a zone; a text without an offset is in UTC."""
+    found = dt.datetime.fromisoformat(text)
+    return found.astimezone(dt.UTC).replace(tzinfo=None) if found.tzinfo else found
+
+
 class Compiler:
     """One query against one snapshot.  tables gives the DataFrame of a type: id, (src, dst,) properties."""
 
@@ -102,7 +108,7 @@ class Compiler:
             if kind == "Date":
                 return dt.date.fromisoformat(v)
             if kind == "DateTime":
-                return dt.datetime.fromisoformat(v.replace("Z", "+00:00")).astimezone(dt.UTC).replace(tzinfo=None) if v.endswith("Z") or "+" in v[10:] else dt.datetime.fromisoformat(v)
+                return instant(v)
             return v
         if e.op == "now":
             return self.now
@@ -125,7 +131,7 @@ class Compiler:
         if kind == "Date" and isinstance(value, int):
             return dt.date(1970, 1, 1) + dt.timedelta(value)
         if kind == "DateTime" and isinstance(value, str):
-            return dt.datetime.fromisoformat(value.replace("Z", "+00:00")).replace(tzinfo=None)
+            return instant(value)
         if kind == "DateTime" and isinstance(value, int):
             return dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=value)
         limits = {"I32": (-(2**31), 2**31 - 1), "I64": (-(2**63), 2**63 - 1), "U32": (0, 2**32 - 1), "U64": (0, 2**64 - 1)}

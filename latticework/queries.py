@@ -91,8 +91,8 @@ GRAPH: dict[str, tuple[str, str | None]] = {
     "lossless_literal": ("match { $p: Part $p.size = 2.5 } return { $p.key as k }", "select p_partkey as k from part where p_size = 2.5"),
     "string_contains": ("match { $p: Part $p.name contains \"e\" } return { $p.key as k }", "select p_partkey as k from part where contains(p_name, 'e')"),
     "starts_with": ("match { $p: Part $p.brand starts_with \"Brand#1\" } return { $p.key as k }", "select p_partkey as k from part where starts_with(p_brand, 'Brand#1')"),
-    "list_contains": ("match { $p: Part $p.words contains \"STEEL\" } return { $p.key as k }", "select p_partkey as k from part where list_contains(string_split(p_type, ' '), 'STEEL')"),
-    "inline_list_match": ("match { $p: Part { words: \"TIN\" } } return { count($p) as n }", "select count(*) as n from part where list_contains(string_split(p_type, ' '), 'TIN')"),
+    "list_contains": ("match { $p: Part $p.words contains \"PROMO\" } return { $p.key as k }", "select p_partkey as k from part where list_contains(string_split(p_type, ' '), 'PROMO')"),
+    "inline_list_match": ("match { $p: Part { words: \"LARGE\" } } return { count($p) as n }", "select count(*) as n from part where list_contains(string_split(p_type, ' '), 'LARGE')"),
     "cross_binding_filter": ("match { $c: Customer $s: Supplier $c customerIn $n $s supplierIn $n $c.balance < $s.balance } return { $c.key as c, $s.key as s }",
         "select c_custkey as c, s_suppkey as s from customer join supplier on c_nationkey = s_nationkey where c_acctbal < s_acctbal"),
     "cross_join": ("match { $r: Region $n: Nation } return { $r.name as r, $n.name as n }", "select r_name as r, n_name as n from region, nation"),
@@ -129,8 +129,8 @@ GRAPH: dict[str, tuple[str, str | None]] = {
     "anti_join_fast": ("match { $d: Document not { $d annotated $_ } } return { $d.key as k }", "select doc_id as k from documents where doc_id not in (select doc_id from labels)"),
     "anti_join_filtered": ("match { $c: Customer not { $c placed $o $o.priority = \"1-URGENT\" } } return { $c.key as k }",
         "select c_custkey as k from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')"),
-    "anti_join_nested": ("match { $n: Nation not { $c customerIn $n not { $c placed $o $o.total > 400000 } } } return { $n.name as n }",
-        "select n_name as n from nation where not exists (select 1 from customer where c_nationkey = n_nationkey and not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000))"),
+    "anti_join_nested": ("match { $n: Nation not { $c customerIn $n not { $c placed $o $o.total > 300000 } } } return { $n.name as n }",
+        "select n_name as n from nation where not exists (select 1 from customer where c_nationkey = n_nationkey and not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000))"),
     "group_count": ("match { $c: Customer $c placed $o } return { $c.segment as segment, count($o) as orders } order { orders desc }",
         "select c_mktsegment as segment, count(*) as orders from customer join orders on o_custkey = c_custkey group by 1 order by orders desc, segment"),
     "sum_avg_min_max": ("match { $p: Part } return { $p.brand as brand, sum($p.size) as total, avg($p.size) as mean, min($p.size) as low, max($p.name) as high }",
@@ -151,7 +151,7 @@ GRAPH: dict[str, tuple[str, str | None]] = {
         select vec_id as k from a full join b using (vec_id) order by coalesce(1.0 / (60 + a.r + 1), 0) + coalesce(1.0 / (60 + b.r + 1), 0) desc, a.r nulls last, b.r nulls last, cast(vec_id as varchar) limit 8"""),
     "search_tokens": ("match { $d: Document search($d.text, \"thing there\") } return { $d.key as k }", f"select doc_id as k from documents where list_has_any({_tok('text')}, ['thing'])"),
     "match_text_tokens": ("match { $d: Document match_text($d.text, \"que\") $d.lang = \"fr\" } return { $d.key as k }", f"select doc_id as k from documents where lang = 'fr' and list_contains({_tok('text')}, 'que')"),
-    "fuzzy_tokens": ("match { $p: Part fuzzy($p.name, \"gren\", 1) } return { $p.key as k }", f"select p_partkey as k from part where len(list_filter({_tok('p_name')}, lambda t: levenshtein(t, 'gren') <= 1)) > 0"),
+    "fuzzy_tokens": ("match { $p: Part fuzzy($p.name, \"rang\", 1) } return { $p.key as k }", f"select p_partkey as k from part where len(list_filter({_tok('p_name')}, lambda t: levenshtein(t, 'rang') <= 1)) > 0"),
     "bm25_rank": ("match { $d: Document } return { $d.key as k } order { bm25($d.text, \"thing with her\") } limit 15",
         f"""with d as (select doc_id, {_tok('text')} as t from documents), n as (select count(*) as n, avg(len(t)) as a, sum(list_contains(t, 'thing')::int) as d1, sum(list_contains(t, 'her')::int) as d2 from d),
         s as (select doc_id, ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len(t) / a)) + ln(1 + (n - d2 + 0.5) / (d2 + 0.5)) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * len(t) / a)) as s

@@ -17,10 +17,16 @@ class RecordError(ValueError):
     """A record that can't be loaded."""
 
 
+#: of a strict source: bytes of a line, and how deep its values may be nested
+LINE_LIMIT, DEPTH_LIMIT = 32 << 20, 128
+
+
 def read_records(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
     """value: one JSON text a row.  pretty: values may span lines and follow each other; a file is then read whole by one task."""
     if not pretty:
-        return spark.read.text(path).where(F.trim("value") != "")
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        # a line over the limit goes no further than this scan
+        return lines.select(F.when(F.octet_length("value") > LINE_LIMIT, F.raise_error(F.concat(F.lit("a line has more than "), F.lit(LINE_LIMIT), F.lit(" bytes")))).otherwise(F.col("value")).alias("value"))
 
     def split(batches: Iterator) -> Iterator:
         import json
@@ -43,6 +49,29 @@ def read_records(spark: SparkSession, path: str, pretty: bool = False) -> DataFr
     return spark.read.text(path, wholetext=True).mapInPandas(split, "value string")
 
 
+def _kind(json: Column, name: str) -> Column:
+    """The type of a field of a JSON text, null where it is missing."""
+    return F.schema_of_variant(F.variant_get(F.try_parse_json(json), f'$["{name}"]', "variant"))
+
+
+def fits(kind: Column, p: PropType) -> Column:
+    """Whether a JSON value of this type (as schema_of_variant names it) may become a property: no text as a number, no number or boolean as text."""
+    whole, number, text = kind.rlike("^(BIGINT|DECIMAL\\([0-9]+,0\\))$"), kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), kind == "STRING"
+    if p.list or p.scalar == "Vector":
+        one = PropType("F32") if p.scalar == "Vector" else PropType(p.scalar)
+        item = F.regexp_extract(kind, "^ARRAY<(.*)>$", 1)
+        return kind.startswith("ARRAY<") & ((item == "VOID") | fits(item, one))
+    if p.scalar in ("I32", "I64", "U32", "U64"):
+        return whole
+    if p.scalar in ("F32", "F64"):
+        return number
+    if p.scalar == "Bool":
+        return kind == "BOOLEAN"
+    if p.scalar in ("Date", "DateTime"):
+        return text | whole
+    return text
+
+
 def typed(raw: Column, p: PropType) -> Column:
     """A JSON value's text as its property's type; null where it doesn't fit."""
     if p.list or p.scalar == "Vector":
@@ -79,6 +108,13 @@ def derived_id(t: EntityType) -> Column | None:
     return parts[0] if len(parts) == 1 else F.to_json(F.array(*parts))
 
 
+def _depth(value: Column) -> Column:
+    """How deep the brackets of a JSON text are nested, those in strings left out."""
+    brackets = F.regexp_replace(value, '"(?:[^"\\\\]|\\\\.)*+"|[^\\[\\]{}]', "")
+    step = lambda a, c: F.when(c.isin("[", "{"), F.struct((a["now"] + 1).alias("now"), F.greatest(a["most"], a["now"] + 1).alias("most"))).otherwise(F.struct((a["now"] - 1).alias("now"), a["most"].alias("most")))
+    return F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+
+
 def envelopes(records: DataFrame) -> DataFrame:
     """The records' five fields, and keys: the fields they really have."""
     parsed = records.select("value", F.from_json("value", ENVELOPE).alias("r"), F.json_object_keys("value").alias("keys"))
@@ -96,6 +132,10 @@ def check(found: DataFrame, catalog: Catalog) -> None:
         .when(F.col("type").isNotNull() & ~F.col("type").isin(*nodes), "unknown type")
         .when(F.col("edge").isNotNull() & ~F.col("edge").isin(*edges), "unknown type")
         .when(F.col("edge").isNotNull() & (F.col("from").isNull() | F.col("to").isNull()), "an edge needs from and to")
+        .when(F.col("edge").isNotNull() & ((_kind(F.col("value"), "from") != "STRING") | (_kind(F.col("value"), "to") != "STRING")), "from and to are texts")
+        .when(F.size("keys") > F.size(F.array_distinct("keys")), "a field is given twice")
+        .when((F.length("value") - F.length(F.translate("value", "[{", "")) > DEPTH_LIMIT) & (_depth(F.col("value")) > DEPTH_LIMIT), "nested too deep")
+        .when(F.size(F.coalesce(F.json_object_keys("data"), F.array().cast("array<string>"))) > F.size(F.array_distinct(F.coalesce(F.json_object_keys("data"), F.array().cast("array<string>")))), "a property is given twice")
         .when(F.size(F.array_except(F.coalesce(F.json_object_keys("data"), F.array().cast("array<string>")), F.element_at(allowed, name))) > 0, "unknown property")
     )
     bad = found.select("value", why.alias("why")).where("why is not null").head(1)
@@ -107,8 +147,8 @@ def entities(found: DataFrame, t: EntityType) -> DataFrame:
     """id, (src, dst,) properties of one type's records, and wrong: a property whose value has another type."""
     mine = found.where((F.col("type") if t.kind == "node" else F.col("edge")) == t.name)
     names = ["id", *t.props]
-    mine = mine.select(F.col("from").alias("src"), F.col("to").alias("dst"), F.from_json("data", ", ".join(f"`{n}` string" for n in names)).alias("d"))
-    cols = {n: typed(F.col(f"d.`{n}`"), p) for n, p in t.props.items()}
+    mine = mine.select(F.col("from").alias("src"), F.col("to").alias("dst"), F.from_json("data", ", ".join(f"`{n}` string" for n in names)).alias("d"), "data")
+    cols = {n: F.when(fits(_kind(F.col("data"), n), p), typed(F.col(f"d.`{n}`"), p)) for n, p in t.props.items()}
     wrong = F.array_compact(F.array(*[F.when(F.col(f"d.`{n}`").isNotNull() & c.isNull(), F.lit(n)) for n, c in cols.items()])) if cols else F.array().cast("array<string>")
     ends = ["src", "dst"] if t.kind == "edge" else []
     out = mine.select(F.col("d.id").alias("given"), *ends, *[c.alias(n) for n, c in cols.items()], wrong.alias("wrong"))

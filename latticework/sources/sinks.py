@@ -62,6 +62,46 @@ def render(df: DataFrame, form: str = "table", limit: int = 1000) -> str:
     return "\n".join([lines[0], "-+-".join("-" * w for w in width), *lines[1:]])
 
 
+def arrow_stream(df: DataFrame, limit: int) -> bytes:
+    """The first rows as an Arrow IPC stream."""
+    import pyarrow as pa
+
+    table, out = df.limit(limit).toArrow(), io.BytesIO()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return out.getvalue()
+
+
+def write_arrow(df: DataFrame, folder: str) -> DataFrame:
+    """All rows as Arrow IPC files in a folder that all executors share, one a task; gives file, rows.  A file appears by one rename when it is whole."""
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        writer, n = None, 0
+        for batch in batches:
+            if writer is None:
+                store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+                store.create_dir(root, recursive=True)
+                name = f"part-{TaskContext.get().partitionId():05d}.arrow"
+                temp = f"{root}/{name}.{uuid.uuid4().hex}"
+                out = store.open_output_stream(temp)
+                writer = pa.ipc.new_file(out, batch.schema)
+            writer.write_batch(batch)
+            n += batch.num_rows
+        if writer is not None:
+            writer.close()
+            out.close()
+            store.move(temp, f"{root}/{name}")
+            yield pa.RecordBatch.from_pylist([{"file": name, "rows": n}], pa.schema([("file", pa.string()), ("rows", pa.int64())]))
+
+    return df.mapInArrow(run, "file string, rows long")
+
+
 def write_jsonl(records: DataFrame, path: str) -> None:
     """A DataFrame with one column value as text files, one record a line."""
     records.select("value").write.text(path)

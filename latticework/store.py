@@ -13,12 +13,17 @@ import datetime as dt
 import json
 import uuid
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: a column that no table has: names begin with a letter
+LAYER = "_layer"
+
+
 class Conflict(RuntimeError):
     """Another writer moved the branch."""
 
@@ -121,16 +126,33 @@ class Store:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
     def table(self, layers: list[dict], schema: T.StructType) -> DataFrame:
-        """The rows that the layers leave; columns a layer lacks are null."""
-        out = None
+        """The rows that the layers leave; columns a layer lacks are null.
+
+        A layer takes ids away from those below it.  However many layers there are, that is one aggregation of
+        the ids and one join: a row stays if no layer above its own takes its id.
+        """
         loose = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
-        for layer in layers:
-            if layer.get("gone") and out is not None:
-                out = out.join(self.rows(layer["gone"], T.StructType([T.StructField("id", T.StringType())])), "id", "left_anti").select(*[F.col(f"`{f.name}`") for f in schema])
-            if layer.get("data"):
-                part = self.rows(layer["data"], loose)
-                out = part if out is None else out.unionByName(part)
-        return out if out is not None else self.spark.createDataFrame([], loose)
+        ids = T.StructType([T.StructField("id", T.StringType())])
+        data = [(k, x["data"]) for k, x in enumerate(layers) if x.get("data")]
+        gone = [(k, x["gone"]) for k, x in enumerate(layers) if x.get("gone") and data and k > data[0][0]]
+        if not data:
+            return self.spark.createDataFrame([], loose)
+        if not gone:
+            return reduce(DataFrame.unionByName, [self.rows(name, loose) for _, name in data])
+        fresh = [name for k, name in data if k >= gone[-1][0]]  # nothing is above these
+        older = [self.rows(name, loose).withColumn(LAYER, F.lit(k)) for k, name in data if k < gone[-1][0]]
+        taken = reduce(DataFrame.union, [self.rows(name, ids).select(F.col("id").alias(f"{LAYER}id"), F.lit(k).alias("k")) for k, name in gone])
+        if len(gone) > 1:
+            taken = taken.groupBy(f"{LAYER}id").agg(F.max("k").alias("k"))
+        kept = reduce(DataFrame.unionByName, older)
+        kept = kept.join(taken, (F.col("id") == F.col(f"{LAYER}id")) & (F.col(LAYER) < F.col("k")), "left_anti").drop(LAYER)
+        return reduce(DataFrame.unionByName, [self.rows(name, loose) for name in fresh], kept)
+
+    def touched(self, layers: list[dict]) -> DataFrame | None:
+        """id: what the layers put or take away, None for nothing."""
+        ids = T.StructType([T.StructField("id", T.StringType())])
+        found = [self.rows(x[part], ids) for x in layers for part in ("data", "gone") if x.get(part)]
+        return reduce(DataFrame.union, found).distinct() if found else None
 
     def delete(self, name: str) -> None:
         self._fs().delete(self._path(name), True)
