@@ -88,6 +88,8 @@ GRAPH: dict[str, tuple[str, str | None]] = {
         "select c_name as name, c_acctbal as balance from customer where c_mktsegment = 'BUILDING' and c_acctbal > 5000 order by c_acctbal desc, cast(c_custkey as varchar) limit 20"),
     "date_filter": ("match { $o: Order $o.date >= datetime(\"1996-01-01T00:00:00\") $o.status != \"F\" } return { $o.key as k, $o.total as total }",
         "select o_orderkey as k, o_totalprice as total from orders where o_orderdate >= timestamp '1996-01-01' and o_orderstatus <> 'F'"),
+    "time_of_query": ("match { $o: Order $o.date < now() } return { $o.status as status, count($o) as n }", "select o_orderstatus as status, count(*) as n from orders where o_orderdate < now() group by 1"),
+    "time_with_offset": ("match { $o: Order $o.date >= datetime(\"1997-01-01T05:30:00+05:30\") $o.date < datetime(\"1997-12-31T19:00:00-05:00\") } return { $o.key as k }", "select o_orderkey as k from orders where o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1998-01-01'"),
     "lossless_literal": ("match { $p: Part $p.size = 2.5 } return { $p.key as k }", "select p_partkey as k from part where p_size = 2.5"),
     "string_contains": ("match { $p: Part $p.name contains \"e\" } return { $p.key as k }", "select p_partkey as k from part where contains(p_name, 'e')"),
     "starts_with": ("match { $p: Part $p.brand starts_with \"Brand#1\" } return { $p.key as k }", "select p_partkey as k from part where starts_with(p_brand, 'Brand#1')"),

@@ -141,11 +141,12 @@ class Store:
             return reduce(DataFrame.unionByName, [self.rows(name, loose) for _, name in data])
         fresh = [name for k, name in data if k >= gone[-1][0]]  # nothing is above these
         older = [self.rows(name, loose).withColumn(LAYER, F.lit(k)) for k, name in data if k < gone[-1][0]]
-        taken = reduce(DataFrame.union, [self.rows(name, ids).select(F.col("id").alias(f"{LAYER}id"), F.lit(k).alias("k")) for k, name in gone])
+        taken = reduce(DataFrame.union, [self.rows(name, ids).select(F.col("id").alias(f"{LAYER}id"), F.lit(k).alias(f"{LAYER}k")) for k, name in gone])
         if len(gone) > 1:
-            taken = taken.groupBy(f"{LAYER}id").agg(F.max("k").alias("k"))
+            taken = taken.groupBy(f"{LAYER}id").agg(F.max(f"{LAYER}k").alias(f"{LAYER}k"))
         kept = reduce(DataFrame.unionByName, older)
-        kept = kept.join(taken, (F.col("id") == F.col(f"{LAYER}id")) & (F.col(LAYER) < F.col("k")), "left_anti").drop(LAYER)
+        # an outer join: an anti join would be pushed into the union, one for each layer
+        kept = kept.join(taken, F.col("id") == F.col(f"{LAYER}id"), "left").where(F.col(f"{LAYER}k").isNull() | (F.col(LAYER) >= F.col(f"{LAYER}k"))).drop(LAYER, f"{LAYER}id", f"{LAYER}k")
         return reduce(DataFrame.unionByName, [self.rows(name, loose) for name in fresh], kept)
 
     def touched(self, layers: list[dict]) -> DataFrame | None:

@@ -66,6 +66,91 @@ def graph_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _segments(g: Graph, **how) -> DataFrame:
+    return g.query("query q() { match { $c: Customer } return { $c.segment as segment, count($c) as n } }", **how)
+
+
+def _customers(spark: SparkSession, sf_dir: str, segment: str, where: str) -> DataFrame:
+    """Records that put some customers into a segment."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where(where)
+    return c.select(F.to_json(F.struct(F.lit("Customer").alias("type"), F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.lit(segment).alias("segment")).alias("data"))).alias("value"))
+
+
+def graph_load_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _loaded(spark, sf_dir)
+    g.load(_customers(spark, sf_dir, "MERGED", "c_acctbal < 1000"), "merge")
+    return _segments(g)
+
+
+def graph_load_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _loaded(spark, sf_dir)
+    g.load(_records(spark, sf_dir).where("get_json_object(value, '$.edge') = 'CustomerIn' and get_json_object(value, '$.to') like '%1%'"), "overwrite")
+    return g.query("query q() { match { $c: Customer $c customerIn $n } return { $n.name as nation, count($c) as n } }")
+
+
+def graph_ingest_fork(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _loaded(spark, sf_dir)
+    g.ingest(_customers(spark, sf_dir, "FORKED", "c_acctbal > 5000"), "copy")
+    both = [_segments(g, target=b).withColumn("branch", F.lit(b)) for b in ("main", "copy")]
+    return both[0].union(both[1])
+
+
+def graph_insert_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts of a node and an edge, and the deletion of edges, in turn."""
+    g = _loaded(spark, sf_dir)
+    g.mutate('query m() { insert Customer { name: "new", balance: 1.5, segment: "NEW" } insert CustomerIn { from: "new", to: "NATION_4" } }')
+    g.mutate('query m() { delete CustomerIn where to = "NATION_5" }')
+    return g.query("query q() { match { $c: Customer $c customerIn $n } return { $n.name as nation, count($c) as n } }")
+
+
+def graph_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _loaded(spark, sf_dir)
+    before = g.cursor()
+    g.mutate('query m() { update Customer set { segment: "LATER" } where balance > 0.0 }')
+    both = [_segments(g, target=t).withColumn("at", F.lit(name)) for name, t in (("before", before), ("after", "main"))]
+    return both[0].union(both[1])
+
+
+def graph_optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several small writes, folded, and old data cleaned up: the rows stay."""
+    g = _loaded(spark, sf_dir)
+    for k in range(3):
+        g.load(_customers(spark, sf_dir, f"S{k}", f"c_custkey % 10 = {k}"), "merge")
+    g.optimize()
+    g.cleanup(1)
+    return _segments(g)
+
+
+def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.coalesce(F.get_json_object("value", "$.type"), F.get_json_object("value", "$.edge"))
+    return _loaded(spark, sf_dir).export().groupBy(kind.alias("type")).agg(F.count("*").alias("n"), F.sum(F.get_json_object("value", "$.data.balance").cast("double")).alias("total"))
+
+
+def graph_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _loaded(spark, sf_dir)
+    g.schema_apply(SCHEMA.replace("segment: String @index", 'part: String @rename_from("segment") note: String?'))
+    return g.query("query q() { match { $c: Customer } return { $c.part as part, count($c) as n, count($c.note) as notes } }")
+
+
+def graph_changes_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of a commit's changes, one behind the other."""
+    g = _loaded(spark, sf_dir)
+    g.mutate('query m() { update Customer set { segment: "X" } where balance > 9000.0 }')
+    rows, token, page = [], None, 0
+    while page == 0 or token is not None:
+        found, token = g.commit_changes_page(g.cursor(), token, max_rows=40)
+        rows += [(page, r["type"], r["id"], r["op"]) for r in found]
+        page += 1
+    return spark.createDataFrame(rows, "page int, type string, id string, op string")
+
+
+def graph_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir).query(
+        "query q($s: String, $low: F64) { match { $c: Customer { segment: $s } $c.balance >= $low } return { $c.name as name, $c.balance as balance } }",
+        {"s": "MACHINERY", "low": 2500},
+    )
+
+
 _IN = "customer join nation on c_nationkey = n_nationkey"
 STORED: dict[str, tuple[Callable, str]] = {
     "graph_load_query": (graph_load_query, f"select r_name as region, count(*) as customers, max(c_acctbal) as best from {_IN} join region on n_regionkey = r_regionkey group by 1"),
@@ -74,4 +159,15 @@ STORED: dict[str, tuple[Callable, str]] = {
     "graph_change_feed": (graph_change_feed, f"""select 0 as seq, 'Region' as type, 'insert' as op, count(*) as n from region union all select 0, 'Nation', 'insert', count(*) from nation union all select 0, 'Customer', 'insert', count(*) from customer
         union all select 0, 'InRegion', 'insert', count(*) from nation join region on n_regionkey = r_regionkey union all select 0, 'CustomerIn', 'insert', count(*) from {_IN}
         union all select 1, 'Customer', 'delete', count(*) from customer where c_acctbal < 0 union all select 1, 'CustomerIn', 'delete', count(*) from {_IN} where c_acctbal < 0"""),
+    "graph_load_merge": (graph_load_merge, "select case when c_acctbal < 1000 then 'MERGED' else c_mktsegment end as segment, count(*) as n from customer group by 1"),
+    "graph_load_overwrite": (graph_load_overwrite, f"select n_name as nation, count(*) as n from {_IN} where n_name like '%1%' group by 1"),
+    "graph_ingest_fork": (graph_ingest_fork, "select c_mktsegment as segment, count(*) as n, 'main' as branch from customer group by 1 union all select case when c_acctbal > 5000 then 'FORKED' else c_mktsegment end, count(*), 'copy' from customer group by 1"),
+    "graph_insert_delete": (graph_insert_delete, f"select n_name as nation, count(*) + max(case when n_name = 'NATION_4' then 1 else 0 end) as n from {_IN} where n_name <> 'NATION_5' group by 1"),
+    "graph_time_travel": (graph_time_travel, "select c_mktsegment as segment, count(*) as n, 'before' as at from customer group by 1 union all select case when c_acctbal > 0 then 'LATER' else c_mktsegment end, count(*), 'after' from customer group by 1"),
+    "graph_optimize": (graph_optimize, "select case when c_custkey % 10 < 3 then 'S' || c_custkey % 10 else c_mktsegment end as segment, count(*) as n from customer group by 1"),
+    "graph_export": (graph_export, f"""select 'Region' as type, count(*) as n, cast(null as double) as total from region union all select 'Nation', count(*), null from nation union all select 'Customer', count(*), sum(c_acctbal) from customer
+        union all select 'InRegion', count(*), null from nation join region on n_regionkey = r_regionkey union all select 'CustomerIn', count(*), null from {_IN}"""),
+    "graph_migrate": (graph_migrate, "select c_mktsegment as part, count(*) as n, 0 as notes from customer group by 1"),
+    "graph_changes_page": (graph_changes_page, "select cast((row_number() over (order by c_name) - 1) // 40 as int) as page, 'Customer' as type, c_name as id, 'update' as op from customer where c_acctbal > 9000"),
+    "graph_parameters": (graph_parameters, "select c_name as name, c_acctbal as balance from customer where c_mktsegment = 'MACHINERY' and c_acctbal >= 2500"),
 }

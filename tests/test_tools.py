@@ -5,11 +5,13 @@ import json
 import pytest
 
 from latticework.graph import Graph
-from latticework.plans.lint import describe, lint
+from latticework.functions.search import mock_embedding
+from latticework.plans.lint import describe, lint, lint_migration
 from latticework.plans.query import parse_queries
-from latticework.plans.schema import parse_schema
+from latticework.plans.schema import parse_schema, plan_migration
 from latticework.policy import Denied, Policy, Rule
 from latticework.sources import sinks
+from latticework.sources.embed import fill_vectors
 from latticework.streaming.ingest import ingest_stream
 
 SCHEMA = "node Person { name: String @key age: I32? } edge Knows: Person -> Person"
@@ -67,3 +69,29 @@ def test_policy():
         p.require("bob", "read")
     with pytest.raises(ValueError):
         p.allows("ann", "fly")
+
+
+def test_migration_lint():
+    old, new = parse_schema("node A { x: I64 y: String? } node B { n: String } edge E: A -> A"), parse_schema("node A { x: I32 z: String }")
+    steps = plan_migration(old, new)
+    assert {f.code for f in lint_migration(steps, old)} == {"OG-DS-102", "OG-DS-103", "OG-DS-104", "OG-MF-103", "OG-MF-106"}
+    assert {f.query for f in lint_migration(steps, old, {"B"})} == {"B"}
+
+
+def test_arrow(spark, tmp_path):
+    import pyarrow as pa
+
+    df = spark.range(100).selectExpr("id as k", "cast(id as string) as v").repartition(3)
+    assert pa.ipc.open_stream(sinks.arrow_stream(df, 7)).read_all().num_rows == 7
+    files = sinks.write_arrow(df, f"file://{tmp_path}/out").collect()
+    found = [r for f in files for r in pa.ipc.open_file(str(tmp_path / "out" / f.file)).read_all().to_pylist()]
+    assert sorted(r["k"] for r in found) == list(range(100)) and sum(f.rows for f in files) == 100
+
+
+def test_fill_vectors(spark):
+    catalog = parse_schema('node Doc { title: String v: Vector(3)? @embed("title") }')
+    records = [{"type": "Doc", "data": {"title": "a"}}, {"type": "Doc", "data": {"title": "b", "v": [1, 2, 3]}}, {"type": "Doc", "data": {"v": None}}, {"edge": "X", "from": "a", "to": "b"}]
+    df = spark.createDataFrame([(json.dumps(r),) for r in records], "value string").coalesce(1)
+    out = [json.loads(r.value) for r in fill_vectors(df, catalog, mock_embedding).collect()]
+    assert out == [{"type": "Doc", "data": {"title": "a", "v": mock_embedding("a", 3)}}, *records[1:]]
+    assert json.loads(fill_vectors(df, catalog, mock_embedding, again=True).collect()[1].value)["data"]["v"] == mock_embedding("b", 3)
