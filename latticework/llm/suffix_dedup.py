@@ -21,9 +21,16 @@ contents are cut into ranges of window starts, each of which is complete by itse
 HEAVY contents the ranges would be single windows, which are counted by a 128-bit hash in a
 plain aggregation, so that no group of strings grows without bound.
 
+Beside the bytes, documents are marked that share a passage of `words` words (whatever blanks
+part them) with another document, though it may be shorter than `length` bytes.  Their windows
+have anchors of GRAM_WORDS words and take the same way: a string that two documents hold
+settles both; for documents that are not settled so, the windows of their anchors are
+compared one by one with those of the other strings there.
+
 Defined cases: null and empty texts have no byte to remove; bytes of invalid strings don't
 arise (texts are UTF-8); repeated rows (same doc_id and text) are each other's copies, as
-are equal texts with other ids; null doc_ids stay; an empty table gives an empty result;
+are equal texts with other ids (a passage is repeated only by a row of another id or
+text); null doc_ids stay; an empty table gives an empty result;
 further columns pass.
 """
 
@@ -34,9 +41,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, partitions, quoted, small_batches, text_bytes
+from .common import drop, fresh, materialize, partitions, quoted, small_batches, text_bytes
 
 LENGTH, GRAM, CROWD, HEAVY = 400, 32, 256, 8192
+WORDS, GRAM_WORDS = 50, 8
 ANCHORS = "key long, c1 long, c2 long, doc_id long, tag long, s0 int, s1 int, p int"
 
 
@@ -58,6 +66,14 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM):
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(32)
+    return _chosen(h, wide)
+
+
+def _chosen(h, wide: int):
+    """For grams with hashes h: the arrays of anchors(), if a window has `wide` grams and its anchor is the leftmost of least hash."""
+    import numpy as np
+
+    n = len(h)
     # hash above, position below: the least is the leftmost of the least hash
     low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     size = 1
@@ -73,7 +89,56 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM):
     return h[p[first]].view(np.int64), first, last, p[first]
 
 
-def _anchor_rows(length: int):
+def _mixed_up(h):
+    import numpy as np
+
+    h = h ^ (h >> np.uint64(29))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_anchors(text: bytes, words: int = WORDS, gram: int = GRAM_WORDS):
+    """(keys, first window starts, last window starts, anchors), counted in words, hashes of the strings, and a function that hashes the windows from a to b; None for fewer words."""
+    import numpy as np
+    import xxhash
+
+    raw = np.frombuffer(text, np.uint8)
+    blank = np.r_[True, (raw == 32) | ((raw >= 9) & (raw <= 13)), True]
+    edge = np.diff(blank.view(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if len(starts) < words:
+        return None
+    size = ends - starts
+    load = np.ndarray((len(text),), "<u8", text + bytes(8), strides=(1,))
+    masks = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+    with np.errstate(over="ignore"):
+        h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        live, k = np.flatnonzero(size <= 256), 0
+        while len(live):
+            h[live] = _mixed_up((h[live] ^ load[starts[live] + k] & masks[np.minimum(size[live] - k, 8)]) * np.uint64(0x94D049BB133111EB))
+            k += 8
+            live = live[size[live] > k]
+        for i in np.flatnonzero(size > 256).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(text[starts[i] : ends[i]])
+        n, c = len(h), 0xD1342543DE82EF95
+        up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, c, np.uint64)])
+        down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, pow(c, -1, 1 << 64), np.uint64)])
+        sums = np.r_[np.uint64(0), np.cumsum(h * up[:n])]
+        spell = lambda a, b: _mixed_up((sums[b] - sums[a]) * down[a])  # noqa: E731  of the words from a to b
+        at = np.arange(n - gram + 1)
+        got = _chosen(spell(at, at + gram), words - gram + 1)
+        whole = _mixed_up(spell(got[1], got[2] + words) ^ (got[2] - got[1]).astype(np.uint64)).view(np.int64)
+
+    def windows(a: int, b: int):
+        at = np.arange(a, b)
+        return spell(at, at + words).view(np.int64)
+
+    return got, whole, windows
+
+
+def _anchor_rows(length: int, words: int):
+    """Anchors of bytes with even keys, anchors of words with odd ones."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -84,17 +149,24 @@ def _anchor_rows(length: int):
             rows, keys, firsts, lasts, ps, content = [], [], [], [], [], []
             for i, text in enumerate(text_bytes(batch.column(1))):
                 got = anchors(text, length)
-                if got is None:
-                    continue
-                view = memoryview(text)
-                content += [xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(got[1].tolist(), got[2].tolist(), strict=True)]
-                rows.append(np.full(len(got[0]), i))
-                for x, y in zip((keys, firsts, lasts, ps), got, strict=True):
-                    x.append(y)
+                if got is not None:
+                    view = memoryview(text)
+                    digests = b"".join([xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(got[1].tolist(), got[2].tolist(), strict=True)])
+                    content.append(np.frombuffer(digests, "<i8").reshape(-1, 2))
+                    rows.append(np.full(len(got[0]), i))
+                    for x, y in zip((keys, firsts, lasts, ps), (got[0] & ~1, *got[1:]), strict=True):
+                        x.append(y)
+                more = word_anchors(text, words) if words else None
+                if more is not None:
+                    zero = np.zeros_like(more[1])
+                    content.append(np.stack([more[1], zero], 1))
+                    rows.append(np.full(len(zero), i))
+                    for x, y in zip((keys, firsts, lasts, ps), (more[0][0] | 1, zero, zero, zero), strict=True):
+                        x.append(y)
             if not rows:
                 continue
             row = np.concatenate(rows)
-            c = np.frombuffer(b"".join(content), "<i8").reshape(-1, 2)
+            c = np.concatenate(content)
             cols = [pa.array(np.concatenate(keys)), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), ids.take(pa.array(row)), pa.array(tags[row])]
             cols += [pa.array(np.concatenate(x).astype(np.int32)) for x in (firsts, lasts, ps)]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in ANCHORS.split(", ")])
@@ -183,25 +255,43 @@ def _windows(length: int, heavy: int):
         import xxhash
 
         for batch in small_batches(batches, column=2, limit=1 << 18):
-            digests, ids, tags, starts, counts = [], [], [], [], []
+            digests, rows = [], []
             for doc_id, tag, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 view = memoryview(text)
                 for x in wanted:
                     if x["m"] > heavy:
                         some = range(x["s0"], x["s1"] + 1)
                         digests += [xxhash.xxh3_128_digest(view[a : a + length]) for a in some]
-                        ids += [doc_id] * len(some)
-                        tags += [tag] * len(some)
-                        starts += some
-                        counts += [x["n"]] * len(some)
-            if ids:
+                        rows += [(doc_id, tag, a, x["n"]) for a in some]
+            if rows:
                 h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                cols = [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(starts, pa.int32()), pa.array(counts, pa.int64())]
+                cols = [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]]
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in WINDOWS.split(", ")])
 
     return run
 
 
+def _word_windows(words: int):
+    """Hashes of the windows of the anchors of words that are asked for."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in small_batches(batches, column=2, limit=1 << 20):
+            rows, hashes = [], []
+            for i, (text, keys) in enumerate(zip(text_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True)):
+                (found, first, last, _), _, windows = word_anchors(text, words)
+                for k in np.flatnonzero(np.isin(found | 1, np.array(keys, np.int64))).tolist():
+                    hashes.append(windows(first[k], last[k] + 1))
+                    rows.append(np.full(len(hashes[-1]), i))
+            if rows:
+                row = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), batch.column(0).take(row), batch.column(1).take(row)], names=["h", "doc_id", "tag"])
+
+    return run
+
+
 def _cut(length: int, crowd: int, heavy: int):
     """The strings of one document, cut from its text; those of crowded anchors in ranges of window starts."""
 
@@ -291,30 +381,76 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("tag"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, heavy: int = HEAVY, batch_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tag (xxhash64 of the text), spans: for every document with repeated bytes, intervals [s, e) that cover them; they may overlap."""
-    if length < GRAM + 8:
-        raise ValueError(f"length must be at least {GRAM + 8}")
-    spark = docs.sparkSession
-    own = _own(docs, id_col, text_col)
-    rows = materialize(own.mapInArrow(_anchor_rows(length), ANCHORS), "anchors")
-    contents = materialize(rows.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "s0", "s1", "p")).alias("r")), "contents")
-    whole = rows.join(contents.where("n > 1").select("key", "c1", "c2"), ["key", "c1", "c2"]).select("doc_id", "tag", F.col("s0").alias("s"), (F.col("s1") + length).alias("e"))
-    mixed = materialize(contents.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
-    most = mixed.agg(F.max("m")).first()[0] or 0
-    wanted = contents.join(mixed, "key").select("r.doc_id", "r.tag", F.struct("key", "r.s0", "r.s1", "r.p", "n", "m").alias("x"))
-    wanted = wanted.groupBy("doc_id", "tag").agg(F.collect_list("x").alias("wanted"))
+def _texts(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, tag, text, wanted: the texts that a table (doc_id, tag, wanted) names.  The texts' shuffle is the same for all such tables."""
     wanted = wanted.select(F.col("doc_id").alias("w_id"), F.col("tag").alias("w_tag"), "wanted").hint("shuffle_hash")
-    texts = own.join(wanted, own["doc_id"].eqNullSafe(F.col("w_id")) & (own["tag"] == F.col("w_tag"))).select("doc_id", "tag", "text", "wanted")
+    return own.join(wanted, own["doc_id"].eqNullSafe(F.col("w_id")) & (own["tag"] == F.col("w_tag"))).select("doc_id", "tag", "text", "wanted")
+
+
+def _repeated(rows: DataFrame, name: str) -> DataFrame:
+    """The rows whose anchor occurs twice at least, written: most occur once and need nothing further."""
+    twice = rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    return materialize(rows.join(twice, "key"), name)
+
+
+def _byte_spans(own: DataFrame, some: DataFrame, length: int, crowd: int, heavy: int, batch_bytes: int) -> DataFrame:
+    """doc_id, tag, s, e: intervals of bytes."""
+    contents = materialize(some.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "s0", "s1", "p")).alias("r")), "contents")
+    whole = some.join(contents.where("n > 1").select("key", "c1", "c2"), ["key", "c1", "c2"]).select("doc_id", "tag", F.col("s0").alias("s"), (F.col("s1") + length).alias("e"))
+    mixed = contents.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    wanted = contents.join(mixed, "key").select("r.doc_id", "r.tag", F.struct("key", "r.s0", "r.s1", "r.p", "n", "m").alias("x"))
+    wanted = materialize(wanted.groupBy("doc_id", "tag").agg(F.collect_list("x").alias("wanted")), "wanted")
+    most = wanted.agg(F.max(F.array_max(F.transform("wanted", lambda x: x["m"])))).first()[0] or 0
+    texts = _texts(own, wanted)
     strings = texts.mapInArrow(_cut(length, crowd, heavy), STRINGS)
     order = ["key", "part"]
-    partial = strings.repartition(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_columns(length, batch_bytes), SPANS)
+    partial = strings.repartition(partitions(own.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_columns(length, batch_bytes), SPANS)
     found = whole.unionByName(partial)
     if most > heavy:  # else the texts needn't be read once more
         windows = materialize(texts.where(F.exists("wanted", lambda x: x["m"] > heavy)).mapInArrow(_windows(length, heavy), WINDOWS), "windows")
         often = windows.groupBy("h1", "h2").agg(F.sum("n").alias("all")).where(F.col("all") > 1)
         found = found.unionByName(windows.join(often, ["h1", "h2"]).select("doc_id", "tag", "s", (F.col("s") + length).alias("e")))
-    return found.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return found
+
+
+def _sharers(own: DataFrame, some: DataFrame, words: int) -> DataFrame:
+    """doc_id, tag, hits: the documents that share a passage with another, and by how many strings or windows that shows."""
+    doc = F.xxhash64("doc_id", "tag")  # tells documents apart
+    contents = some.groupBy("key", "c").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"), F.min(F.struct("doc_id", "tag")).alias("r"))
+    contents = materialize(contents.withColumn("shared", F.col("lo") < F.col("hi")), "word-contents")
+    settled = some.join(contents.where("shared").select("key", "c"), ["key", "c"]).groupBy("doc_id", "tag").agg(F.count("*").alias("hits"))
+    settled = materialize(settled, "settled")
+    # keys under which a document that is not settled stands with another; every string there shows one text
+    open_ = contents.where("not shared").select("key", "r.doc_id", "r.tag").alias("o")
+    open_ = open_.join(settled.alias("z"), F.expr("o.doc_id <=> z.doc_id and o.tag = z.tag"), "left_anti").select("key").distinct()
+    wanted = contents.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key").join(open_, "key")
+    wanted = contents.join(wanted, "key").groupBy("r.doc_id", "r.tag").agg(F.collect_set("key").alias("wanted"))
+    windows = materialize(_texts(own, wanted).mapInArrow(_word_windows(words), "h long, doc_id long, tag long"), "word-windows")
+    for done in (some, contents):
+        drop(done)
+    often = windows.groupBy("h").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")).where("lo < hi").select("h")
+    more = windows.join(often, "h").groupBy("doc_id", "tag").agg(F.count("*").alias("hits"))
+    return settled.unionByName(more)
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, heavy: int = HEAVY, batch_bytes: int = 4 << 20, words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, tag (xxhash64 of the text), spans, hits for every document with repeats.
+
+    spans: intervals [s, e) that cover the repeated bytes; they may overlap.  hits: where words > 0, how many
+    strings or windows show that the document shares a passage of so many words with another; null for none.
+    """
+    if length < GRAM + 8 or words and words < 2 * GRAM_WORDS:
+        raise ValueError(f"length must be at least {GRAM + 8}, words 0 or at least {2 * GRAM_WORDS}")
+    own = _own(docs, id_col, text_col)
+    rows = materialize(own.mapInArrow(_anchor_rows(length, words), ANCHORS), "anchors")
+    of_words = F.col("key").bitwiseAND(F.lit(1)) == 1
+    in_bytes = _repeated(rows.where(~of_words), "repeated-anchors")
+    in_words = _repeated(rows.where(of_words).select("key", F.col("c1").alias("c"), "doc_id", "tag"), "repeated-words") if words else None
+    drop(rows)
+    found = _byte_spans(own, in_bytes, length, crowd, heavy, batch_bytes).select("doc_id", "tag", F.struct("s", "e").alias("span"), F.lit(None).cast("long").alias("hits"))
+    if words:
+        found = found.unionByName(_sharers(own, in_words, words).select("doc_id", "tag", F.lit(None).cast("struct<s:int,e:int>").alias("span"), "hits"))
+    return found.groupBy("doc_id", "tag").agg(F.collect_set("span").alias("spans"), F.sum("hits").alias("hits"))
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -363,7 +499,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document, and passage_hits: 0 unless it shares a passage of `words` words with another."""
+    how.setdefault("words", WORDS)
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -376,10 +513,10 @@ def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone = merged(spans)
                 rows.append((len(text), sum(b - a for a, b in gone), len(gone), hashlib.sha256(_keep(text, gone)).hexdigest()))
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, batch.column(3)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_hits"])
 
-    # the same three columns by the same keys as in repeated_spans: Spark shuffles the texts once for both joins
+    # the same three columns by the same keys as in repeated_spans: Spark shuffles the texts once for all joins
     own = _own(docs, id_col, text_col)
-    found = repeated_spans(docs, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("w_id"), F.col("tag").alias("w_tag"), "spans").hint("shuffle_hash")
-    both = own.join(found, own["doc_id"].eqNullSafe(F.col("w_id")) & (own["tag"] == F.col("w_tag")), "left").select(own["doc_id"], "text", "spans")
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = repeated_spans(docs, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("w_id"), F.col("tag").alias("w_tag"), "spans", "hits").hint("shuffle_hash")
+    both = own.join(found, own["doc_id"].eqNullSafe(F.col("w_id")) & (own["tag"] == F.col("w_tag")), "left").select(own["doc_id"], "text", "spans", F.coalesce("hits", F.lit(0)).alias("hits"))
+    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_hits long")

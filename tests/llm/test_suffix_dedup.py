@@ -1,5 +1,6 @@
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from hashlib import sha256
 
 import pytest
@@ -11,6 +12,17 @@ from .conftest import got, ordered
 COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
+
+def passages(pairs, words):
+    """Whether a window of so many words stands in a row of another id or text too."""
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for _, t in pairs]
+    holders = defaultdict(set)
+    for pair, w in zip(pairs, split, strict=True):
+        for i in range(len(w) - words + 1):
+            holders[tuple(w[i : i + words])].add(pair)
+    return ordered([(doc, len((t or "").encode()), any(len(holders[tuple(w[i : i + words])]) > 1 for i in range(len(w) - words + 1))) for (doc, t), w in zip(pairs, split, strict=True)])
+
+
 def brute(pairs, length):
     texts = [(t or "").encode() for _, t in pairs]
     n = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
@@ -25,6 +37,10 @@ def brute(pairs, length):
     return ordered(out)
 
 
+def hits(df):
+    return ordered([(r.doc_id, r.n_bytes, r.passage_hits > 0) for r in df.collect()])
+
+
 @pytest.mark.parametrize("length", [400, 64])
 def test_fixture(docs, rows, length):
     want = brute([(r[0], r[1]) for r in rows], length)
@@ -45,7 +61,24 @@ def test_many_contents(spark, crowd, heavy):
 
 
 def test_query(spark, sf, real):
-    assert got(queries.op3_suffix_dedup(spark, sf), *COLUMNS) == brute([*zip(real.doc_id.tolist(), real.text, strict=True)], 400)
+    pairs = [*zip(real.doc_id.tolist(), real.text, strict=True)]
+    out = queries.op3_suffix_dedup(spark, sf).cache()
+    assert got(out, *COLUMNS) == brute(pairs, 400) and hits(out) == passages(pairs, 50)
+
+
+@pytest.mark.parametrize("words", [16, 50])
+def test_passages(spark, docs, rows, words):
+    """Passages shorter than `length` bytes, in other surroundings and between other blanks; near copies; a text that repeats only itself."""
+    pairs = [(r[0], r[1]) for r in rows]
+    assert hits(suffix_dedup.repeat_digests(docs, words=words)) == passages(pairs, words)
+    rng = random.Random(11)
+    some = lambda n: [rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(n)]
+    shared = [some(words + rng.randint(-2, 25)) for _ in range(12)]
+    pairs = [(i, rng.choice([" ", "\n", " \t", "\r\n "]).join([*some(rng.randint(0, 90)), *rng.choice(shared), *some(rng.randint(0, 90))])) for i in range(60)]
+    pairs += [(70, " ".join(shared[0][:words] * 4)), (71, " ".join(["k"] * 200)), (72, " ".join(["k"] * 20)), (73, "k " * words), (74, "z" * 3000 + " " + " ".join(shared[1])), (75, "z" * 3000)]
+    want = passages(pairs, words)
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    assert hits(suffix_dedup.repeat_digests(df, words=words)) == want and 20 < sum(r[2] for r in want) < 66
 
 
 def test_kept_bytes(docs, rows):
