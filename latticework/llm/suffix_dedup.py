@@ -389,8 +389,11 @@ def _texts(own: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _repeated(rows: DataFrame, name: str) -> DataFrame:
     """The rows whose anchor occurs twice at least, written: most occur once and need nothing further."""
-    twice = rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    return materialize(rows.join(twice, "key"), name)
+    # written, so that both sides of the join are plain shuffles: adaptive execution then splits a key that many rows have
+    twice = materialize(rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), f"{name}-keys")
+    some = materialize(rows.join(twice, "key"), name)
+    drop(twice)
+    return some
 
 
 def _byte_spans(own: DataFrame, some: DataFrame, length: int, crowd: int, heavy: int, batch_bytes: int) -> DataFrame:
