@@ -7,9 +7,13 @@ then occurs unchanged in any passage within the budget.  Piece hits are found by
 rolling hash of piece_words words over the whole document and set a window; the
 window's best edit distance comes from Myers' bit-parallel algorithm over words.
 
-The item side travels to the tasks in blocks of at most block_bytes of item text, so
-what is broadcast is bounded whatever the number of items; every block meets every
-document.
+Items of at most block_bytes in all, which is checked first, travel to the tasks, and the
+documents are read once and not shuffled.  More items than that stay a table: hashes of
+pieces meet hashes of document windows in a join, the windows first thinned out by a
+bitmap of fixed size, and the pairs found are brought to the document's text, sorted, so
+that a task holds one document and one block of its items at a time.  Both ways search
+with the same code and give the same rows; documents are read twice at most, however many
+items there are.
 
 Defined cases: null or empty texts and items without a word match nothing; items
 shorter than a piece must occur whole; repeated documents or items give a row each;
@@ -19,14 +23,13 @@ null ids stay null; empty tables give an empty result; further columns pass.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, small_batches
+from .common import fresh, materialize, partitions, quoted, small_batches
 
-PIECE_WORDS, BLOCK_BYTES = 5, 8 << 20
+PIECE_WORDS, BLOCK_BYTES, BITMAP_WORDS = 5, 8 << 20, 1 << 21
 SCHEMA = "doc_id long, tag long, item_id long, distance int, first_word int, last_word int"
 
 
@@ -154,45 +157,130 @@ class Index:
         return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The items in blocks of bounded size; the driver holds one block at a time."""
-    block, size = [], 0
-    for item_id, text in benchmark.select(quoted(id_col).cast("long"), quoted(text_col)).toLocalIterator():
-        if text:
-            block.append((item_id, text))
-            size += len(text) + 64
-            if size >= block_bytes:
-                yield block
-                block, size = [], 0
-    if block:
-        yield block
+def _batch(rows: list[tuple], schema: str):
+    """Rows as an Arrow batch of a schema of long and int columns."""
+    import pyarrow as pa
 
+    names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    kinds = [pa.int64() if t == "long" else pa.int32() for t in types]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, piece_words: int = PIECE_WORDS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """A row per document and item found in it: doc_id, tag (xxhash64 of the text), item_id, distance in words, the passage's first and last word (end exclusive)."""
-    spark = docs.sparkSession
-    own = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("tag"))
 
-    def against(block: list[tuple]) -> DataFrame:
-        carried = spark.sparkContext.broadcast(block)
+def _against_all(own: DataFrame, items: list[tuple], piece_words: int) -> DataFrame:
+    """Every document against items that every task holds."""
+    carried = own.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator) -> Iterator:
+        index = Index(carried.value, piece_words)
+        for batch in small_batches(batches):
+            rows = []
+            for doc_id, text, tag in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rows += [(doc_id, tag, *r) for r in index.search(text)]
+            if rows:
+                yield _batch(rows, SCHEMA)
+
+    return own.mapInArrow(run, SCHEMA)
+
+
+def _piece_rows(piece_words: int):
+    """h, width, k for the pieces of items (k, text)."""
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in small_batches(batches):
+            rows = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for width, (h, _, _) in Index([(k, text)], piece_words).by_width.items():
+                    rows += [(x, width, k) for x in h.view("i8").tolist()]
+            if rows:
+                yield _batch(rows, "h long, width int, k long")
+
+    return run
 
-        def run(batches: Iterator) -> Iterator:
-            import pyarrow as pa
 
-            index = Index(carried.value, piece_words)
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
-            for batch in small_batches(batches):
-                rows = []
-                for doc_id, text, tag in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    rows += [(doc_id, tag, *r) for r in index.search(text)]
-                if rows:
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+def _window_rows(widths: list[int], carried):
+    """h, width, doc_id, tag for the windows of documents, each once a document, that the bitmap lets through."""
 
-        return own.mapInArrow(run, SCHEMA)
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        bitmap = np.frombuffer(carried.value, np.uint64)
+        top = np.uint64(len(bitmap) - 1)
+        for batch in small_batches(batches, limit=1 << 20):
+            rows = []
+            for doc_id, text, tag in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                ids = Index.word_ids(words_of(text))
+                for width in widths:
+                    h = np.unique(Index.hashes(ids, width))
+                    h = h[(bitmap[(h >> np.uint64(6)) & top] >> (h & np.uint64(63))) & np.uint64(1) == 1]
+                    rows += [(x, width, doc_id, tag) for x in h.view("i8").tolist()]
+            if rows:
+                yield _batch(rows, "h long, width int, doc_id long, tag long")
+
+    return run
+
+
+def _verify(piece_words: int, block_bytes: int):
+    """Streams rows (doc_id, tag, text, k, item_id, item) sorted by document, its own rows (k null) before those of its items."""
+
+    def run(batches: Iterator) -> Iterator:
+        key, text, times, items, size = None, None, 0, [], 0
+
+        def found() -> list[tuple]:
+            got = Index(items, piece_words).search(text) if items else []
+            return [(*key, *r) for r in got for _ in range(times)]
+
+        for batch in batches:
+            rows = []
+            for doc_id, tag, own, k, item_id, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (doc_id, tag) != key or size >= block_bytes:
+                    rows += found()
+                    items, size = [], 0
+                if (doc_id, tag) != key:
+                    key, text, times = (doc_id, tag), None, 0
+                if k is None:
+                    text, times = own, times + 1
+                else:
+                    items.append((item_id, item))
+                    size += len(item) + 64
+            if rows:
+                yield _batch(rows, SCHEMA)
+        rows = found()
+        if rows:
+            yield _batch(rows, SCHEMA)
+
+    return run
+
+
+def _by_join(own: DataFrame, items: DataFrame, piece_words: int, block_bytes: int) -> DataFrame:
+    """Documents against a table of items of any size."""
+    spark = own.sparkSession
+    items = materialize(items.withColumn("k", F.monotonically_increasing_id()), "items")
+    pieces = materialize(items.select("k", "text").mapInArrow(_piece_rows(piece_words), "h long, width int, k long"), "pieces")
+    # BITMAP_WORDS rows at most, whatever the number of pieces
+    words = pieces.groupBy(F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toPandas()
+    bitmap = bytearray(8 * BITMAP_WORDS)
+    if len(words):
+        import numpy as np
+
+        np.frombuffer(bitmap, np.int64)[words["at"].to_numpy()] = words["bits"].to_numpy()
+    widths = [w for (w,) in pieces.select("width").distinct().collect()]  # piece_words different ones at most
+    own = own.where("text is not null")
+    windows = own.mapInArrow(_window_rows(widths, spark.sparkContext.broadcast(bytes(bitmap))), "h long, width int, doc_id long, tag long")
+    pairs = windows.join(pieces, ["h", "width"]).select("doc_id", "tag", "k").distinct()
+    of_items = pairs.join(items, "k").select("doc_id", "tag", F.lit(None).cast("string").alias("own"), "k", "item_id", F.col("text").alias("item"))
+    of_docs = own.select("doc_id", "tag", F.col("text").alias("own"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("string").alias("item"))
+    both = of_docs.unionByName(of_items).repartition(partitions(spark), "doc_id", "tag").sortWithinPartitions("doc_id", "tag", F.col("k").asc_nulls_first())
+    return both.mapInArrow(_verify(piece_words, block_bytes), SCHEMA)
 
-    found = [against(b) for b in _blocks(benchmark, item_col, item_text_col, block_bytes)]
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, piece_words: int = PIECE_WORDS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """A row per document and item found in it: doc_id, tag (xxhash64 of the text), item_id, distance in words, the passage's first and last word (end exclusive)."""
+    own = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"), F.xxhash64(quoted(text_col)).alias("tag"))
+    items = benchmark.select(quoted(item_col).cast("long").alias("item_id"), quoted(item_text_col).alias("text")).where("text <> ''")
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    if size <= block_bytes:
+        return _against_all(own, [tuple(r) for r in items.collect()], piece_words)
+    return _by_join(own, items, piece_words, block_bytes)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -56,6 +56,24 @@ def test_planted(spark):
     assert {r.doc_id for r in kept.collect()} == {x for x, _ in docs} - {x[0] for x in want}
 
 
+def test_both_ways_agree(spark, docs):
+    """Items that travel and items that stay a table give the same rows: repeated documents, null ids, long texts, clashing columns."""
+    texts = [r.text for r in docs.select("text").distinct().orderBy("text").collect() if r.text]
+    rng = random.Random(4)
+    items = []
+    for i, t in enumerate(texts):
+        w = t.split()
+        at = rng.randrange(max(1, len(w) - 40))
+        items.append((i % 50, " ".join(w[at : at + rng.randint(1, 40)])))
+    b = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    every = "doc_id", "tag", "item_id", "distance", "first_word", "last_word"
+    broad = got(decontaminate.contaminated(docs, b), *every)
+    assert len(broad) > 200 and {x[0] for x in broad} >= {None}
+    for size in (1, 3000):
+        assert got(decontaminate.contaminated(docs, b, block_bytes=size), *every) == broad
+    assert decontaminate.contaminated(docs.limit(0), b, block_bytes=1).collect() == []
+
+
 def test_query(spark, sf, real):
     items = pd.read_parquet(f"{sf}/benchmark.parquet")
     found = got(queries.op2_decontamination(spark, sf), "doc_id", "item_id", "distance")
