@@ -98,9 +98,8 @@ GRAPH: dict[str, tuple[str, str | None]] = {
     "cross_binding_filter": ("match { $c: Customer $s: Supplier $c customerIn $n $s supplierIn $n $c.balance < $s.balance } return { $c.key as c, $s.key as s }",
         "select c_custkey as c, s_suppkey as s from customer join supplier on c_nationkey = s_nationkey where c_acctbal < s_acctbal"),
     "cross_join": ("match { $r: Region $n: Nation } return { $r.name as r, $n.name as n }", "select r_name as r, n_name as n from region, nation"),
-    "theta_join": ("match { $r: Region $s: Supplier $t: Supplier $s.balance > $t.balance $s.key < 20 $t.key < 20 $r.name starts_with \"A\" } return { $r.name as r, $s.key as s, $t.key as t }",
-        "select r_name as r, s.s_suppkey as s, t.s_suppkey as t from region, supplier s, supplier t where s.s_acctbal > t.s_acctbal and s.s_suppkey < 20 and t.s_suppkey < 20 and starts_with(r_name, 'A')"),
-    "expand_one_hop": ("match { $o: Order { status: \"F\" } $o contains_ $p }", None),
+    "theta_join_all": ("match { $r: Region $s: Supplier $t: Supplier $s.balance > $t.balance $r.name starts_with \"A\" } return { $r.name as r, $s.key as s, $t.key as t }",
+        "select r_name as r, s.s_suppkey as s, t.s_suppkey as t from region, supplier s, supplier t where s.s_acctbal > t.s_acctbal and starts_with(r_name, 'A')"),
     "expand_distinct": ("match { $o: Order { status: \"F\" } $o suppliedBy $s } return { $o.key as o, $s.key as s }",
         "select distinct l_orderkey as o, l_suppkey as s from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey where o_orderstatus = 'F'"),
     "expand_reverse": ("match { $n: Nation { name: \"NATION_3\" } $c customerIn $n } return { $c.key as c }", "select c_custkey as c from customer join nation on c_nationkey = n_nationkey where n_name = 'NATION_3'"),
@@ -108,20 +107,20 @@ GRAPH: dict[str, tuple[str, str | None]] = {
         "select r_name as region, count(*) as customers from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name order by customers desc, region"),
     "cycle_closing": ("match { $c: Customer $c placed $o $o suppliedBy $s $s supplierIn $n $c customerIn $n } return { $c.key as c, $o.key as o, $s.key as s }",
         "select distinct c_custkey as c, o_orderkey as o, s_suppkey as s from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey and s_nationkey = c_nationkey join nation on n_nationkey = c_nationkey"),
-    "undirected_neighbours": ("match { $s: Supplier $s.key < 10 $s <followedBy> $t } return { $s.key as s, $t.key as t }",
-        f"with {_follow} select s, n as t from (select s, n from pairs union select n, s from pairs) join supplier a on a.s_suppkey = s join supplier b on b.s_suppkey = n where s < 10"),
+    "undirected_neighbours_all": ("match { $s: Supplier $s <followedBy> $t } return { $s.key as s, $t.key as t }",
+        f"with {_follow} select s, n as t from (select s, n from pairs union select n, s from pairs) join supplier a on a.s_suppkey = s join supplier b on b.s_suppkey = n"),
     "bound_edge_rows": ("match { $o: Order { priority: \"1-URGENT\" } $o $l:suppliedBy $s } return { $s.key as s, count($l) as n }",
         "select l_suppkey as s, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey where o_orderpriority = '1-URGENT' group by 1"),
-    "bound_edge_undirected": ("match { $s: Supplier $s.key < 10 $s $e:<followedBy> $t } return { $s.key as s, count($e) as n }",
-        f"with {_follow} select s, count(*) as n from (select s, n from followed union all select n, s from followed where s <> n) where s < 10 and s in (select s_suppkey from supplier) and n in (select s_suppkey from supplier) group by s"),
-    "reach_1_3": ("match { $s: Supplier $s.key < 4 $s followedBy{1,3} $t } return { $s.key as s, $t.key as t }",
-        f"""with {_follow}, v0 as (select s_suppkey as s, s_suppkey as n from supplier where s_suppkey < 4),
+    "bound_edge_undirected_all": ("match { $s: Supplier $s $e:<followedBy> $t } return { $s.key as s, count($e) as n }",
+        f"with {_follow} select s, count(*) as n from (select s, n from followed union all select n, s from followed where s <> n) where s in (select s_suppkey from supplier) and n in (select s_suppkey from supplier) group by s"),
+    "reach_1_3_all": ("match { $s: Supplier $s followedBy{1,3} $t } return { $s.key as s, $t.key as t }",
+        f"""with {_follow}, v0 as (select s_suppkey as s, s_suppkey as n from supplier),
         e1 as (select distinct v.s, p.n, v.n = p.n as loop from v0 v join pairs p on v.n = p.s), f1 as (select s, n from e1 where not loop), v1 as (select * from v0 union select * from f1),
         e2 as (select distinct f.s, p.n, f.n = p.n as loop from f1 f join pairs p on f.n = p.s), f2 as (select s, n from e2 where not loop except select * from v1), v2 as (select * from v1 union select * from f2),
         e3 as (select distinct f.s, p.n, f.n = p.n as loop from f2 f join pairs p on f.n = p.s), f3 as (select s, n from e3 where not loop except select * from v2)
         select s, n as t from (select * from f1 union select s, n from e1 where loop union select * from f2 union select s, n from e2 where loop union select * from f3 union select s, n from e3 where loop) where n in (select s_suppkey from supplier)"""),
-    "reach_2_2": ("match { $s: Supplier $s.key < 10 $s followedBy{2,2} $t } return { $s.key as s, $t.key as t }",
-        f"""with {_follow}, v0 as (select s_suppkey as s, s_suppkey as n from supplier where s_suppkey < 10),
+    "reach_2_2_all": ("match { $s: Supplier $s followedBy{2,2} $t } return { $s.key as s, $t.key as t }",
+        f"""with {_follow}, v0 as (select s_suppkey as s, s_suppkey as n from supplier),
         f1 as (select distinct v.s, p.n from v0 v join pairs p on v.n = p.s where v.n <> p.n), v1 as (select * from v0 union select * from f1),
         e2 as (select distinct f.s, p.n, f.n = p.n as loop from f1 f join pairs p on f.n = p.s), f2 as (select s, n from e2 where not loop except select * from v1)
         select s, n as t from (select * from f2 union select s, n from e2 where loop) where n in (select s_suppkey from supplier)"""),
@@ -159,18 +158,14 @@ GRAPH: dict[str, tuple[str, str | None]] = {
         s as (select doc_id, ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len(t) / a)) + ln(1 + (n - d2 + 0.5) / (d2 + 0.5)) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * len(t) / a)) as s
         from (select *, len(list_filter(t, lambda x: x = 'thing'))::double as f1, len(list_filter(t, lambda x: x = 'her'))::double as f2 from d), n)
         select doc_id as k from s where s > 0 order by s desc, cast(doc_id as varchar) limit 15"""),
+    "rrf_two_texts": ("match { $d: Document } return { $d.key as k } order { rrf(bm25($d.text, \"thing\"), bm25($d.text, \"her\")) } limit 12",
+        f"""with d as (select doc_id, {_tok('text')} as t from documents), n as (select count(*) as n, avg(len(t)) as a, sum(list_contains(t, 'thing')::int) as d1, sum(list_contains(t, 'her')::int) as d2 from d),
+        f as (select *, len(list_filter(t, lambda x: x = 'thing'))::double as f1, len(list_filter(t, lambda x: x = 'her'))::double as f2 from d, n),
+        s as (select doc_id, ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * len(t) / a)) as s1, ln(1 + (n - d2 + 0.5) / (d2 + 0.5)) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * len(t) / a)) as s2 from f),
+        a as (select doc_id, row_number() over (order by s1 desc, cast(doc_id as varchar)) - 1 as r from s where s1 > 0), b as (select doc_id, row_number() over (order by s2 desc, cast(doc_id as varchar)) - 1 as r from s where s2 > 0)
+        select doc_id as k from a full join b using (doc_id) order by coalesce(1.0 / (60 + a.r + 1), 0) + coalesce(1.0 / (60 + b.r + 1), 0) desc, a.r nulls last, b.r nulls last, cast(doc_id as varchar) limit 12"""),
+    "default_name": ("match { $c: Customer $c placed $o } return { count($o) }", "select count(*) as o from customer join orders on o_custkey = c_custkey"),
 }
-del GRAPH["expand_one_hop"]
-
-#: The bounds on keys in queries of that name and in their SQL; NAME_all goes without, from all suppliers
-_BOUNDS = {
-    "theta_join": ("$s.key < 20 $t.key < 20 ", " and s.s_suppkey < 20 and t.s_suppkey < 20"),
-    "undirected_neighbours": ("$s.key < 10 ", " where s < 10"),
-    "bound_edge_undirected": ("$s.key < 10 ", "s < 10 and "),
-    "reach_1_3": ("$s.key < 4 ", " where s_suppkey < 4"),
-    "reach_2_2": ("$s.key < 10 ", " where s_suppkey < 10"),
-}
-GRAPH |= {f"{n}_all": (GRAPH[n][0].replace(bound, ""), GRAPH[n][1].replace(sql, "")) for n, (bound, sql) in _BOUNDS.items()}
 
 
 def run(spark: SparkSession, sf_dir: str, text: str, params: dict | None = None) -> DataFrame:

@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import Graph
+from .graph import Graph, MergeConflicts
+from .sources import sinks
 from .storage import shared_dir
+from .streaming.ingest import ingest_stream
 
 SCHEMA = """
 node Region { name: String @key }
@@ -151,6 +153,96 @@ def graph_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def graph_merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conflicts of a merge in which both sides changed some customers, and one changed what the other deleted."""
+    g = _loaded(spark, sf_dir)
+    g.branch_create("work")
+    for where in ("balance < 1000.0", "balance > 8000.0"):
+        g.mutate(f'query m() {{ update Customer set {{ segment: "OURS" }} where {where} }}', branch="work")
+    g.mutate('query m() { update Customer set { segment: "MAIN" } where balance < 2000.0 }')
+    g.mutate('query m() { delete Customer where balance > 9000.0 }')
+    try:
+        g.merge("work")
+    except MergeConflicts as e:
+        return e.found
+    return spark.createDataFrame([], "type string, id string, conflict string")
+
+
+def graph_merge_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges of a branch with nothing new, of one that is ahead, and of one that has parted; the rows that main then shows."""
+    g = _loaded(spark, sf_dir)
+    g.branch_create("work")
+    rows = [(0, g.merge("work"), _marked(g))]
+    g.mutate('query m() { update Customer set { segment: "MARK" } where balance < 0.0 }', branch="work")
+    rows.append((1, g.merge("work"), _marked(g)))
+    g.mutate('query m() { update Customer set { segment: "MARK" } where balance > 9000.0 }', branch="work")
+    g.mutate('query m() { delete CustomerIn where to = "NATION_6" }')
+    rows.append((2, g.merge("work"), _marked(g)))
+    return spark.createDataFrame(rows, "step int, outcome string, marked long")
+
+
+def _marked(g: Graph) -> int:
+    return g.query('query q() { match { $c: Customer { segment: "MARK" } } return { count($c) as n } }').first()[0]
+
+
+def graph_mutation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes and edges each mutation says it touched; one that finds nothing makes no commit."""
+    g = _loaded(spark, sf_dir)
+    rows = []
+    for k, text in enumerate((
+        'insert Customer { name: "new", balance: 1.5, segment: "NEW" } insert CustomerIn { from: "new", to: "NATION_4" }',
+        'update Customer set { segment: "LOW" } where balance < 0.0',
+        'delete Nation where name = "NATION_3"',
+        'delete CustomerIn where to = "NATION_5"',
+        'delete Customer where name = "nobody"',
+    )):
+        done = g.mutate(f"query m() {{ {text} }}")
+        rows.append((k, done.nodes, done.edges, done.commit is not None))
+    return spark.createDataFrame(rows, "step int, nodes long, edges long, committed boolean")
+
+
+def graph_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records as of a cursor, then the changes after it."""
+    g = _loaded(spark, sf_dir)
+    cursor, records = g.baseline()
+    g.mutate('query m() { update Customer set { segment: "X" } where balance > 5000.0 }')
+    kind = F.coalesce(F.get_json_object("value", "$.type"), F.get_json_object("value", "$.edge"))
+    out = records.groupBy(kind.alias("type")).agg(F.count("*").alias("n")).select("type", F.lit("record").alias("what"), "n")
+    for _, changes in g.poll(cursor):
+        out = out.union(changes.groupBy("type", "op").agg(F.count("*").alias("n")).select("type", F.col("op").alias("what"), "n"))
+    return out
+
+
+def graph_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([_loaded(spark, sf_dir).entity("Nation", "NATION_7")], "id string, name string")
+
+
+def graph_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x["type"], x["property"], x["kind"]) for x in _loaded(spark, sf_dir).ensure_indices()], "type string, property string, kind string")
+
+
+def graph_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as Arrow and as JSON lines; the latter loaded into a second graph."""
+    g, folder = _loaded(spark, sf_dir), f"{shared_dir(spark)}/latticework/sink-{uuid.uuid4().hex}"
+    files = sinks.write_arrow(g.table("Customer"), f"{folder}/arrow")
+    sinks.write_jsonl(g.export(), f"{folder}/jsonl")
+    again = Graph.init(spark, f"{folder}/graph", SCHEMA)
+    again.load(f"{folder}/jsonl")
+    back = _segments(again)
+    return files.agg(F.sum("rows").alias("n")).select(F.lit("arrow").alias("segment"), "n").union(back)
+
+
+def graph_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node records as a stream of files, a commit for each micro-batch; a second run finds nothing new."""
+    folder = f"{shared_dir(spark)}/latticework/stream-{uuid.uuid4().hex}"
+    _records(spark, sf_dir).where("get_json_object(value, '$.type') is not null").repartition(4).write.text(f"{folder}/in")
+    g = Graph.init(spark, f"{folder}/graph", SCHEMA)
+    for _ in range(2):
+        stream = spark.readStream.option("maxFilesPerTrigger", 2).text(f"{folder}/in")
+        ingest_stream(g, stream, f"{folder}/checkpoint").awaitTermination()
+    return _segments(g)
+
+
 _IN = "customer join nation on c_nationkey = n_nationkey"
 STORED: dict[str, tuple[Callable, str]] = {
     "graph_load_query": (graph_load_query, f"select r_name as region, count(*) as customers, max(c_acctbal) as best from {_IN} join region on n_regionkey = r_regionkey group by 1"),
@@ -170,4 +262,15 @@ STORED: dict[str, tuple[Callable, str]] = {
     "graph_migrate": (graph_migrate, "select c_mktsegment as part, count(*) as n, 0 as notes from customer group by 1"),
     "graph_changes_page": (graph_changes_page, "select cast((row_number() over (order by c_name) - 1) // 40 as int) as page, 'Customer' as type, c_name as id, 'update' as op from customer where c_acctbal > 9000"),
     "graph_parameters": (graph_parameters, "select c_name as name, c_acctbal as balance from customer where c_mktsegment = 'MACHINERY' and c_acctbal >= 2500"),
+    "graph_merge_conflicts": (graph_merge_conflicts, "select 'Customer' as type, c_name as id, case when c_acctbal < 1000 then 'DivergentUpdate' else 'DeleteVsUpdate' end as conflict from customer where c_acctbal < 1000 or c_acctbal > 9000"),
+    "graph_merge_outcomes": (graph_merge_outcomes, """select 0 as step, 'AlreadyUpToDate' as outcome, 0 as marked union all select 1, 'FastForward', count(*) from customer where c_acctbal < 0
+        union all select 2, 'Merged', count(*) from customer where c_acctbal < 0 or c_acctbal > 9000"""),
+    "graph_mutation_counts": (graph_mutation_counts, f"""select 0 as step, 1 as nodes, 1 as edges, true as committed union all select 1, count(*), 0, count(*) > 0 from customer where c_acctbal < 0
+        union all select 2, 1, count(*) + 1, true from {_IN} where n_name = 'NATION_3' union all select 3, 0, count(*), count(*) > 0 from {_IN} where n_name = 'NATION_5' union all select 4, 0, 0, false"""),
+    "graph_baseline": (graph_baseline, f"""select 'Region' as type, 'record' as what, count(*) as n from region union all select 'Nation', 'record', count(*) from nation union all select 'Customer', 'record', count(*) from customer
+        union all select 'InRegion', 'record', count(*) from nation join region on n_regionkey = r_regionkey union all select 'CustomerIn', 'record', count(*) from {_IN} union all select 'Customer', 'update', count(*) from customer where c_acctbal > 5000"""),
+    "graph_entity": (graph_entity, "select n_name as id, n_name as name from nation where n_name = 'NATION_7'"),
+    "graph_indices": (graph_indices, "select * from (values ('Region', 'name', 'ordered'), ('Nation', 'name', 'ordered'), ('Customer', 'name', 'ordered'), ('Customer', 'segment', 'text'), ('InRegion', 'src', 'ordered'), ('InRegion', 'dst', 'ordered'), ('CustomerIn', 'src', 'ordered'), ('CustomerIn', 'dst', 'ordered')) as t(type, property, kind)"),
+    "graph_sinks": (graph_sinks, "select 'arrow' as segment, count(*) as n from customer union all select c_mktsegment, count(*) from customer group by 1"),
+    "graph_stream": (graph_stream, "select c_mktsegment as segment, count(*) as n from customer group by 1"),
 }
