@@ -32,6 +32,8 @@ from .common import quoted, small_batches, text_bytes
 
 SPACE = "▁"
 CACHE_WORDS = 400_000
+#: bytes of text whose ids and spans a worker holds at once
+SLICE = 256 << 10
 
 
 class CharMap:
@@ -319,18 +321,26 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
     """doc_id, ids, decoded and, unless not asked for, starts and ends: each id's span in the text's UTF-8 bytes."""
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         codec = Codec(model)
-        for batch in small_batches(batches, limit=2 << 20):
-            texts = text_bytes(batch.column(1))
-            if spans:
-                got = [codec.aligned(t) for t in texts]
-                ids = [g[0] for g in got]
-                more = [pa.array([g[k] for g in got], pa.list_(pa.int32())) for k in (1, 2)]
-            else:
-                ids, more = [codec.encode(t)[0] for t in texts], []
-            cols = [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(codec.decode, ids), pa.string()), *more]
+
+        def lists(arrays: list) -> pa.Array:
+            ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).astype(np.int32, copy=False)))
+
+        for batch in small_batches(batches, limit=SLICE):
+            found, decoded = [], []
+            for text in text_bytes(batch.column(1)):  # a text's ids are Python numbers only while it is decoded
+                if spans:
+                    ids, starts, ends, _ = codec.aligned(text)
+                else:
+                    ids = codec.encode(text)[0]
+                decoded.append(codec.decode(ids))
+                found.append((np.array(ids, np.int32), starts, ends) if spans else (np.array(ids, np.int32),))
+            cols = [batch.column(0), *map(lists, zip(*found, strict=True))]
+            cols.insert(2, pa.array(decoded, pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded", "starts", "ends"][: len(cols)])
 
     schema = "doc_id long, ids array<int>, decoded string" + ", starts array<int>, ends array<int>" * spans
