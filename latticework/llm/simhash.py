@@ -19,11 +19,13 @@ doc_ids stay, and a component's id is its smallest non-null doc_id; an empty tab
 gives an empty result; further columns pass.
 
 The corpus stage (one_of_similar) links texts whose sets of 5-word shingles have a Jaccard
-similarity of at least 0.8.  That is about ten differing bits of a fingerprint and up to
-twenty, more than parts of 64 bits can sort out, so candidates come from bands of
-min-hashes and the verdict is the exact similarity.  A pair of similarity s shares no
-bucket with probability (1 - s^5)^32: 3 in a million at 0.8, fewer above.  In each bucket all
-texts first meet its least one; only buckets that then hold several components compare
+similarity of at least 0.8.  It takes the same steps with fingerprints of these sets: embedding,
+grid join, components; what a component holds is a bucket of candidates.  But 0.8 is about
+ten differing bits of a fingerprint and up to twenty, more than parts of 64 bits can sort
+out, so buckets of equal min-hash bands are added for the pairs that the grid cannot reach:
+a pair of similarity s shares none of these with probability (1 - s^5)^32, 3 in a million
+at 0.8, fewer above.  The verdict on all candidates is the exact similarity.  In each bucket
+all texts first meet its least one; only buckets that then hold several components compare
 all pairs, in blocks.  Shingles and texts are told apart by 64-bit hashes.
 """
 
@@ -58,12 +60,18 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     starts = [0, *[e + 1 for e in ends[: 1 - width - 1]]] if width > 1 else [0, *[e + 1 for e in ends[:-1]]]
     hash_ = xxhash.xxh64_intdigest
     n = len(words) - width + 1
-    h = np.fromiter((hash_(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :], strict=False)), dtype="<u8", count=n)
+    return majority(np.fromiter((hash_(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :], strict=False)), dtype="<u8", count=n))
+
+
+def majority(h) -> int:
+    """Bits set in over half the 64-bit hashes."""
+    import numpy as np
+
     counts = np.zeros(64, np.int64)
-    for k in range(0, n, 16384):
+    for k in range(0, len(h), 16384):
         bits = np.unpackbits(h[k : k + 16384].view(np.uint8), bitorder="little").reshape(-1, 64)
         counts += bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,8 +268,8 @@ def shingles(text: bytes, width: int = STAGE_SHINGLE):
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(n)), dtype="<u8", count=n))
 
 
-def _buckets(texts: DataFrame, width: int) -> DataFrame:
-    """tag, bucket: each distinct text of texts (tag, text) in one bucket a band."""
+def _prints(texts: DataFrame, width: int) -> DataFrame:
+    """tag, fp (the fingerprint of the set of shingles), buckets (one a band) of each distinct text of texts (tag, text)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -272,19 +280,29 @@ def _buckets(texts: DataFrame, width: int) -> DataFrame:
         by, plus = random.integers(0, 2**64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
         by |= np.uint64(1)
 
-        def bands(text: bytes) -> list:
-            h = shingles(text, width)
+        def bands(h) -> list:
             least = np.min([(h[k : k + 4096] * by + plus).min(axis=1) for k in range(0, len(h), 4096)], axis=0)
             rows = least.reshape(BANDS, BAND_ROWS)
             return [xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)]
 
         for batch in small_batches(batches):
-            found = np.array([bands(t) for t in text_bytes(batch.column(1))], dtype=np.uint64).view(np.int64)
+            fps, found = [], []
+            for text in text_bytes(batch.column(1)):
+                h = shingles(text, width)
+                fps.append(majority(h))
+                found.append(bands(h))
+            fps, found = (np.array(x, dtype=np.uint64).view(np.int64) for x in (fps, found))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, BANDS, dtype=np.int32)), pa.array(found.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["tag", "buckets"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), lists], names=["tag", "fp", "buckets"])
+
+    return texts.mapInArrow(run, "tag long, fp long, buckets array<long>").dropDuplicates(["tag"])
+
 
-    found = materialize(texts.mapInArrow(run, "tag long, buckets array<long>").dropDuplicates(["tag"]), "bands")
-    return found.select("tag", F.explode("buckets").alias("bucket"))
+def print_groups(prints: DataFrame, bits: int = LINK_BITS, block: int = BLOCK) -> DataFrame:
+    """tag, bucket: each of prints (tag, fp) in the component of its fingerprint, as the grid join links them."""
+    distinct = materialize(prints.select("fp").distinct(), "distinct")
+    roots = components(links(distinct, bits, block)).withColumnRenamed("v", "fp")
+    return prints.join(roots, "fp", "left").select("tag", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("bucket"))
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -355,11 +373,15 @@ def similar_links(docs: DataFrame, percent: int = SIMILAR, width: int = STAGE_SH
     """v, root of the texts (tags) that have a text of at least that similarity: equal roots for linked ones."""
     spark = docs.sparkSession
     texts = docs.select(F.xxhash64(quoted(text_col)).alias("tag"), quoted(text_col).alias("text"))
-    rows = _buckets(texts, width)
+    prints = materialize(_prints(texts, width), "prints")
+    groups = materialize(print_groups(prints.select("tag", "fp")), "groups")
+    rows = groups.union(prints.select("tag", F.explode("buckets").alias("bucket")))
     # buckets of the same texts are one
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("tag")).alias("who"), F.min("tag").alias("least")).where("n > 1")
     shared = shared.groupBy("n", "who").agg(F.min(F.struct("bucket", "least")).alias("b")).select("b.bucket", "b.least", "n")
     members = materialize(rows.join(shared, "bucket"), "members")
+    drop(prints)
+    drop(groups)
     some = members.select("tag").distinct()
     sets = materialize(_sets(texts.join(some, "tag", "left_semi").dropDuplicates(["tag"]), width), "sets")
     keys = ["g", "p", "q"]

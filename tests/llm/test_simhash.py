@@ -152,5 +152,55 @@ def test_similar_stage_takes_copies_of_many_bits(spark, sf):
     assert sorted(r.doc_id for r in out.collect()) == want
 
 
+def one_of_set(text):
+    """The stage's fingerprint: of the distinct 5-word shingles."""
+    w = text.encode().translate(LOWER).split()
+    grams = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_stage_takes_the_grid(spark, sf, monkeypatch):
+    """Where bands find next to nothing, the copies within three bits still go: the grid join of the stage's fingerprints has them as candidates."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "BANDS", 1)
+    monkeypatch.setattr(simhash, "BAND_ROWS", 2000)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    made = []
+    for i in range(60):
+        text = [word() for _ in range(300)]
+        made.append((2 * i, " ".join(text)))
+        for k in rng.sample(range(5, 295), 1 + i % 3):
+            text[k] = word()
+        made.append((2 * i + 1, " ".join(text)))
+    near = [i for i in range(60) if (one_of_set(made[2 * i][1]) ^ one_of_set(made[2 * i + 1][1])).bit_count() <= 3]
+    assert 15 < len(near) < 55
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    found = [r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, sf).collect()]
+    assert sorted(found) == sorted({d for d, _ in made} - {2 * i + 1 for i in near})
+
+
+def test_groups_of_prints(spark):
+    """Texts share a bucket of the grid exactly where their fingerprints are linked by three bits, chains included."""
+    rng = random.Random(8)
+    fps = [0, 0, 2**64 - 1]
+    for _ in range(40):
+        fps.append(rng.getrandbits(64))
+        for _ in range(4):
+            x = fps[-1]
+            for b in rng.sample(range(64), rng.randint(0, 5)):
+                x ^= 1 << b
+            fps.append(x)
+    label = list(range(len(fps)))
+    for _ in fps:
+        for i, a in enumerate(fps):
+            label[i] = min(label[j] for j, b in enumerate(fps) if (a ^ b).bit_count() <= 3)
+    df = spark.createDataFrame([(i, x - 2**64 if x >> 63 else x) for i, x in enumerate(fps)], "tag long, fp long")
+    bucket = {r.tag: r.bucket for r in simhash.print_groups(df).collect()}
+    assert len(bucket) == len(fps) and len(set(label)) == len(set(bucket.values())) == len({(label[i], b) for i, b in bucket.items()})
+
+
 def test_similar_empty(empty):
     assert simhash.one_of_similar(empty).collect() == []
