@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators import integrity, versions
+from .operators import integrity, pages, versions
 from .plans.compile import Compiler, Scope
 from .plans.lexer import TypeCheckError
 from .plans.query import Expr, Filter, Query, parse_queries
 from .plans.schema import Catalog, EntityType, parse_schema, plan_migration
 from .sources import records
-from .storage import cut
+from .storage import cut, numbered
 from .store import Commit, Conflict, Store
 
 MODES = ("append", "merge", "overwrite")
@@ -40,6 +40,11 @@ class IntegrityError(ValueError):
 PREVIEW = 1000
 
 
+#: what a change has, and the order of changes: nodes before edges, then by type and id
+CHANGE_COLUMNS = ["kind", "type", "id", "op", "before", "after"]
+CHANGE_ORDER = lambda: (F.col("kind") == "edge", F.col("type"), F.col("id"))
+
+
 class MergeConflicts(ValueError):
     """conflicts: the first of them (type, id, kind), PREVIEW at most; total: how many there are; found: type, id, conflict of each, None if a rule was broken."""
 
@@ -418,16 +423,19 @@ class Graph:
 
     def diff(self, a: str | int, b: str | int, kinds: list[str] | None = None, types: list[str] | None = None, ops: list[str] | None = None) -> DataFrame:
         """Net changes from a to b, nodes before edges, then by type and id."""
+        return self._diff(a, b, kinds, types, ops).orderBy(*CHANGE_ORDER())
+
+    def _diff(self, a: str | int, b: str | int, kinds: list[str] | None = None, types: list[str] | None = None, ops: list[str] | None = None) -> DataFrame:
         ca, cb = self.commit_at(a), self.commit_at(b)
         if ca.schema != cb.schema:
             raise ValueError("the schema changed between these commits")
         out = self._changes(ca, cb)
         if out is None:
-            return self.spark.createDataFrame([], "kind string, type string, id string, op string, before string, after string")
+            return self.spark.createDataFrame([], ", ".join(f"{x} string" for x in CHANGE_COLUMNS))
         for column, wanted in (("kind", kinds), ("type", types), ("op", ops)):
             if wanted is not None:
                 out = out.where(F.col(column).isin(*wanted))
-        return out.orderBy(F.col("kind") == "edge", "type", "id")
+        return out
 
     def commit_changes(self, commit: str) -> DataFrame:
         """What a commit changed, against its first parent."""
@@ -444,7 +452,7 @@ class Graph:
             kind, type_name, id_ = json.loads(token)
             at = F.struct((F.col("kind") == "edge").alias("k"), F.col("type").alias("t"), F.col("id").alias("i"))
             changes = changes.where(at > F.struct(F.lit(kind == "edge"), F.lit(type_name), F.lit(id_)))
-        found, size, page = changes.orderBy(F.col("kind") == "edge", "type", "id").limit(max_rows + 1).collect(), 0, []
+        found, size, page = changes.orderBy(*CHANGE_ORDER()).limit(max_rows + 1).collect(), 0, []
         for r in found[:max_rows]:
             size += len(r.before or "") + len(r.after or "")
             if page and size > max_bytes:
@@ -453,6 +461,13 @@ class Graph:
         last = page[-1] if page and len(page) < len(found) else None
         return page, json.dumps([last["kind"], last["type"], last["id"]]) if last else None
 
+    def commit_changes_pages(self, commit: str, max_rows: int = 1000, max_bytes: int = 4 << 20) -> DataFrame:
+        """page, from 0, kind, type, id, op, before, after: all pages as commit_changes_page() gives them one by one; the changes are compared and sorted once."""
+        c = self.commit_at(commit)
+        found = numbered(self._diff(c.parents[0], c.id), "_n", *CHANGE_ORDER())
+        size = F.coalesce(F.length("before"), F.lit(0)) + F.coalesce(F.length("after"), F.lit(0))
+        return pages.paged(found.withColumn("_size", size), "_n", "_size", max_rows, max_bytes).select("page", *CHANGE_COLUMNS)
+
     def cursor(self, branch: str = "main") -> str:
         """Where a feed that starts now begins: poll() after it gives later commits only."""
         return self.commit_at(branch).id

@@ -138,12 +138,7 @@ def graph_changes_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages of a commit's changes, one behind the other."""
     g = _loaded(spark, sf_dir)
     g.mutate('query m() { update Customer set { segment: "X" } where balance > 9000.0 }')
-    rows, token, page = [], None, 0
-    while page == 0 or token is not None:
-        found, token = g.commit_changes_page(g.cursor(), token, max_rows=40)
-        rows += [(page, r["type"], r["id"], r["op"]) for r in found]
-        page += 1
-    return spark.createDataFrame(rows, "page int, type string, id string, op string")
+    return g.commit_changes_pages(g.cursor(), max_rows=40).select("page", "type", "id", "op")
 
 
 def graph_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
