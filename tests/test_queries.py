@@ -13,6 +13,7 @@ import pytest
 
 import __spark_entry__
 from latticework import queries as graph
+from latticework.operators import traverse
 
 
 def normal(columns, rows):
@@ -82,3 +83,26 @@ def test_all_suppliers_are_sources(spark, sf, duck):
             want |= {(s, x) for x in front}
     found = {(r.s, r.t) for r in graph.QUERIES["reach_1_3_all"](spark, sf).collect()}
     assert found == {(s, t) for s, t in want if t in suppliers} and len({s for s, _ in found}) == len(suppliers) > 4
+
+
+@pytest.mark.parametrize("links", ["dense", "sparse"])
+def test_hops_in_blocks(spark, monkeypatch, links):
+    """Hops by bit matrices give the pairs of hops by joins and of a plain search: blocks that are crossed, self-links, nodes that are no sources."""
+    monkeypatch.setattr(traverse, "BLOCK", 64)
+    monkeypatch.setattr(traverse, "GAIN", 0)
+    n = 150
+    arrows = {(i, (i * i + j * 17) % n) for i in range(n) for j in range(9 if links == "dense" else 1)} | {(i, i) for i in range(0, n, 7)}
+    pairs = spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in sorted(arrows)], "s string, n string")
+    sources = spark.createDataFrame([(f"v{a}",) for a in range(0, n, 3)] * 2 + [("alone",)], "s string")
+    for low, high in ((1, 3), (2, 2), (3, 5), (2, 4)):
+        want = set()
+        for s in range(0, n, 3):
+            front, seen = {s}, {s}
+            for hop in range(1, high + 1):
+                step = {(x, b) for x, b in arrows if x in front}
+                front = {b for a, b in step} - seen
+                seen |= front
+                want |= {(f"v{s}", f"v{x}") for x in front | {b for a, b in step if a == b} if hop >= low}
+        for many in (0, 10**9):
+            found = [tuple(r) for r in traverse.reach(sources, pairs, low, high, True, many).collect()]
+            assert len(found) == len(set(found)) and set(found) == want, (low, high, many)
