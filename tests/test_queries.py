@@ -10,6 +10,7 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from latticework import queries as graph
@@ -106,3 +107,19 @@ def test_hops_in_blocks(spark, monkeypatch, links):
         for many in (0, 10**9):
             found = [tuple(r) for r in traverse.reach(sources, pairs, low, high, True, many).collect()]
             assert len(found) == len(set(found)) and set(found) == want, (low, high, many)
+
+
+def test_dense_hops_write_no_single_pairs(spark, monkeypatch):
+    """On dense links a hop joins a row for each node and pair of blocks, not for each path; on thin links it stays a join."""
+    made = []
+    blocks = traverse._blocks
+    monkeypatch.setattr(traverse, "_blocks", lambda *a: made.append(blocks(*a)) or made[-1])
+    n = 200
+    sources = spark.range(n).select(F.col("id").cast("string").alias("s"))
+    dense = spark.range(n).select(F.col("id").cast("string").alias("s"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda x: ((F.col("id") + x) % n).cast("string"))).alias("n"))
+    thin = dense.where("pmod(int(n) - int(s), 200) = 1")
+    for pairs, hops in ((dense, 40), (thin, 1)):
+        found = traverse.reach(sources, pairs, 2, 2, True, 0)
+        assert found.count() == found.distinct().count() == n * hops
+    walk, none = made
+    assert none is None and traverse._joined(walk.links, "node", dense.select(F.col("s").cast("long").alias("node")).distinct(), "node") == n
