@@ -18,7 +18,7 @@ from .plans.lexer import TypeCheckError
 from .plans.query import Expr, Filter, Query, parse_queries
 from .plans.schema import Catalog, EntityType, parse_schema, plan_migration
 from .sources import records
-from .storage import cut, numbered
+from .storage import any_row, at_once, cut, numbered
 from .store import Commit, Conflict, Store
 
 MODES = ("append", "merge", "overwrite")
@@ -62,11 +62,12 @@ class Result:
 
 @dataclass
 class Pending:
-    """What a write does to one type: rows to put, ids to take away; replace: all others go."""
+    """What a write does to one type: rows to put, ids to take away; replace: all others go; stored: where the store has the rows already."""
 
     rows: DataFrame | None = None
     gone: DataFrame | None = None
     replace: bool = False
+    stored: str | None = None
 
 
 @dataclass
@@ -94,52 +95,51 @@ class Draft:
     def put(self, name: str, rows: DataFrame) -> None:
         """Later rows replace earlier ones with their ids."""
         p = self.parts.setdefault(name, Pending())
-        p.rows = rows if p.rows is None else versions.shadow(p.rows, rows)
+        p.rows, p.stored = rows if p.rows is None else versions.shadow(p.rows, rows), None
 
     def take(self, name: str, ids: DataFrame) -> None:
         p = self.parts.setdefault(name, Pending())
         p.gone = ids if p.gone is None else p.gone.union(ids).distinct()
         if p.rows is not None:
-            p.rows = p.rows.join(ids, "id", "left_anti").select(*p.rows.columns)
+            p.rows, p.stored = p.rows.join(ids, "id", "left_anti").select(*p.rows.columns), None
 
     # -- rules -------------------------------------------------------------
     def validate(self) -> None:
         """Values, then keys and unique properties, then edge ends, then cardinality; raises for the first violation."""
-        types = [self.catalog.types[n] for n in self.parts]
+        types, checks = [self.catalog.types[n] for n in self.parts], []
 
         def refuse(kind: str, t: EntityType, df: DataFrame) -> None:
-            bad = df.head(1)
-            if bad:
-                raise IntegrityError(kind, f"{t.name}: {bad[0].asDict()}")
+            checks.append((kind, t, df))
 
         for t in types:
             if (rows := self.parts[t.name].rows) is not None:
                 refuse("Value", t, integrity.bad_values(rows, t))
         for t in sorted(types, key=lambda t: t.kind == "edge"):
-            rows = self.parts[t.name].rows
+            rows, p = self.parts[t.name].rows, self.parts[t.name]
             if rows is None:
                 continue
             refuse("Unique", t, integrity.duplicates(rows, ("id",)))
-            for cols in {t.key, *t.unique} - {()}:
+            for cols in {*t.unique} - {(), t.key}:  # ids are made of keys: keys are unique if ids are
                 refuse("Unique", t, integrity.duplicates(rows, cols))
-                others = self.committed(t.name) if not self.parts[t.name].replace else rows.limit(0)
-                others = others.join(rows.select("id"), "id", "left_anti")
-                if self.parts[t.name].gone is not None:
-                    others = others.join(self.parts[t.name].gone, "id", "left_anti")
+                if p.replace or not self.base.tables.get(t.name):
+                    continue
+                others = self.committed(t.name).join(rows.select("id"), "id", "left_anti")
+                if p.gone is not None:
+                    others = others.join(p.gone, "id", "left_anti")
                 refuse("Unique", t, rows.dropna(subset=list(cols)).join(others.select(*cols), list(cols), "left_semi").select("id", *cols))
         for t in self.catalog.types.values():
             if t.kind != "edge":
                 continue
             mine = self.parts.get(t.name)
-            ends = {n for n in (t.src, t.dst) if n in self.parts and (self.parts[n].gone is not None or self.parts[n].replace)}
-            edges = self.current(t.name) if ends else mine.rows if mine else None
+            lost = {n for n in (t.src, t.dst) if n in self.parts and (self.parts[n].gone is not None or self.parts[n].replace)}
+            edges = self.current(t.name) if lost else mine.rows if mine else None
             if edges is not None:
                 refuse("OrphanEdge", t, integrity.orphans(edges, self.current(t.src), self.current(t.dst)).select("id", "src", "dst", "missing"))
         for t in types:
             p = self.parts[t.name]
             if t.kind != "edge" or not t.card or t.card == (0, None):
                 continue
-            touched = [x.select("src") for x in (p.rows, *([self.committed(t.name).join(y, "id", "left_semi") for y in (p.gone, p.rows) if y is not None])) if x is not None]
+            touched = [x.select("src") for x in (p.rows, *([self.committed(t.name).join(y, "id", "left_semi") for y in (p.gone, p.rows) if y is not None] if self.base.tables.get(t.name) else [])) if x is not None]
             if not touched:
                 continue
             affected = touched[0]
@@ -147,18 +147,26 @@ class Draft:
                 affected = affected.union(x)
             alive = affected.join(self.current(t.src).select(F.col("id").alias("src")), "src", "left_semi")
             refuse("Cardinality", t, integrity.cardinality(self.current(t.name), alive, *t.card))
+        found = at_once(self.graph.spark, [lambda df=df: any_row(df) for _, _, df in checks])
+        for (kind, t, _), bad in zip(checks, found, strict=True):
+            if bad is not None:
+                raise IntegrityError(kind, f"{t.name}: {bad.asDict()}")
 
     def layers(self) -> dict[str, list[dict]]:
         """Write the parts; the commit's tables."""
-        out = dict(self.base.tables)
+        out, store, writes = dict(self.base.tables), self.graph.store, []
         for name, p in self.parts.items():
-            store = self.graph.store
-            layer = {"data": store.write(p.rows, name) if p.rows is not None else None, "gone": None}
+            layer = {"data": p.stored, "gone": None}
             below = [] if p.replace else out.get(name, [])
             ids = [x.select("id") for x in (p.rows, p.gone) if x is not None]
+            if p.rows is not None and not p.stored:
+                writes.append((layer, "data", p.rows, name))
             if below and ids:
-                layer["gone"] = store.write(ids[0] if len(ids) == 1 else ids[0].union(ids[1]).distinct(), f"{name}.gone")
+                writes.append((layer, "gone", ids[0] if len(ids) == 1 else ids[0].union(ids[1]).distinct(), f"{name}.gone"))
             out[name] = [*below, layer]
+        names = at_once(self.graph.spark, [lambda df=df, name=name: store.write(df, name) for _, _, df, name in writes])
+        for (layer, part, _, _), name in zip(writes, names, strict=True):
+            layer[part] = name
         return out
 
 
@@ -276,26 +284,37 @@ class Graph:
         if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}")
         draft = self._draft(branch)
-        found = records.envelopes(records.read_records(self.spark, source, pretty) if isinstance(source, str) else source.select("value"))
-        records.check(found, draft.catalog)
-        counts = {r[0]: r[1] for r in found.groupBy(F.coalesce("type", "edge")).count().collect()}  # a row per type
+        found = records.staged(records.read_records(self.spark, source, pretty) if isinstance(source, str) else source.select("value"), draft.catalog)
+        counts = {r[0]: r[1] for r in found.groupBy("name").count().collect()}  # a row per type
+        if not counts:
+            return Result(None)
         n = {"node": 0, "edge": 0}
         for name, many in counts.items():
+            n[draft.catalog.types[name].kind] += many
+
+        def put(name: str) -> Pending:
+            """A type's rows in the store; generated ids must not change between check and commit."""
             t = draft.catalog.types[name]
-            n[t.kind] += many
-            rows = cut(records.entities(found, t))  # generated ids must not change between check and write
-            wrong = rows.where(F.size("wrong") > 0).head(1)
+            stored = self.store.write(records.entities(found, t), name)
+            written.append(stored)
+            wrong = any_row(self.store.rows(stored, T.StructType([T.StructField("id", T.StringType()), T.StructField("_wrong", T.StringType())])).where("_wrong is not null"))
             if wrong:
-                raise records.RecordError(f"{name}: {wrong[0].wrong[0]} has a value of another type in {wrong[0].id}")
-            rows = rows.drop("wrong")
-            draft.parts[name] = Pending(rows, replace=mode == "overwrite")
-            if mode == "append":
-                taken = rows.join(draft.committed(name).select("id"), "id", "left_semi").select("id").head(1)
+                raise records.RecordError(f"{name}: {wrong._wrong} has a value of another type in {wrong.id}")
+            rows = self.store.rows(stored, T.StructType([T.StructField(f.name, f.dataType) for f in t.struct]))
+            if mode == "append" and draft.base.tables.get(name):
+                taken = any_row(rows.join(draft.committed(name).select("id"), "id", "left_semi").select("id"))
                 if taken:
-                    raise IntegrityError("key_conflict", f"{name} {taken[0].id} exists")
-        if not counts:
-            return Result(None)
-        return Result(self._finish(draft, branch, {"op": "load", "mode": mode} | (note or {})).id, n["node"], n["edge"])
+                    raise IntegrityError("key_conflict", f"{name} {taken.id} exists")
+            return Pending(rows, replace=mode == "overwrite", stored=stored)
+
+        written: list[str] = []
+        try:
+            draft.parts = dict(zip(counts, at_once(self.spark, [lambda name=name: put(name) for name in counts]), strict=True))
+            return Result(self._finish(draft, branch, {"op": "load", "mode": mode} | (note or {})).id, n["node"], n["edge"])
+        except (records.RecordError, IntegrityError):
+            for x in written:  # refused: nothing refers to them
+                self.store.delete(x)
+            raise
 
     def ingest(self, source: str | DataFrame, branch: str, base: str = "main", mode: str = "merge", **how) -> Result:
         """load() into a branch that is made from base if it is missing."""
