@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import search as S
 from ..operators import traverse
+from ..operators.theta import theta
 from ..storage import numbered as numbered_all
 from .lexer import TypeCheckError
 from .query import AGGREGATES, Binding, Expr, Filter, Negation, Query, Traversal
@@ -45,6 +46,7 @@ class Compiler:
         self.catalog, self.tables, self.params, self.embed = catalog, tables, dict(params or {}), embed
         self.now = now or dt.datetime.now(dt.UTC).replace(tzinfo=None)
         self.declared: dict[str, tuple[str, bool]] = {}
+        self.named: set[str] | None = None
 
     # -- typing ------------------------------------------------------------
     def prop(self, scope: Scope, var: str, name: str) -> PropType:
@@ -232,7 +234,7 @@ class Compiler:
             ready = next((c for c in todo if c.src in bound or c.dst in bound), None)
             if ready is not None:
                 todo.remove(ready)
-                df, got = self.expand(scope, ready, df, bound, scan)
+                df, got = self.expand(scope, ready, df, bound, scan, filters)
                 bound |= got
                 continue
             rest = [v for v in order if v not in bound]
@@ -244,10 +246,13 @@ class Compiler:
             if df is None:
                 df = one
             else:
-                theta = [f for f in filters if (self.variables(f.left) | self.variables(f.right)) & set(scope.types) <= bound | {root}]
-                filters = [f for f in filters if f not in theta]
-                df = df.crossJoin(one)
-                for f in theta:
+                tests = [f for f in filters if (self.variables(f.left) | self.variables(f.right)) & set(scope.types) <= bound | {root}]
+                filters = [f for f in filters if f not in tests]
+                if pivot := self.pivot(scope, tests, bound, root):
+                    df = theta(self.slim(df), self.slim(one), None, pivot[0], self.condition(scope, pivot[1]))
+                else:
+                    df = df.crossJoin(one)
+                for f in tests:
                     df = df.where(self.condition(scope, f))
             bound.add(root)
         if df is None:
@@ -286,7 +291,37 @@ class Compiler:
             if v != "_":
                 scope.types.setdefault(v, self.catalog.types[name])
 
-    def expand(self, scope: Scope, c: Traversal, df: DataFrame, bound: set[str], scan: Callable[[str], DataFrame]) -> tuple[DataFrame, set[str]]:
+    def pivot(self, scope: Scope, tests: list[Filter], bound: set[str], new: str) -> tuple[tuple[str, str, str], Filter] | None:
+        """A comparison of a bound variable's property with one of the new variable's, as columns (bound, operator, new), and its filter."""
+        turned = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+        for f in tests:
+            if f.op in turned and f.left.op == f.right.op == "prop":
+                (a, b), kinds = (f.left.args, f.right.args), [self.kind(scope, e) for e in (f.left, f.right)]
+                if kinds[0].scalar != kinds[1].scalar and not all(k.scalar in NUMERIC for k in kinds):
+                    continue  # compared as another type, whose order may differ
+                if a[0] in bound and b[0] == new:
+                    return ("__".join(a), f.op, "__".join(b)), f
+                if b[0] in bound and a[0] == new:
+                    return ("__".join(b), turned[f.op], "__".join(a)), f
+        return None
+
+    def slim(self, df: DataFrame) -> DataFrame:
+        """Only the columns that the query still names, and ids: what is gathered in arrays is not pruned by the optimizer."""
+        return df if self.named is None else df.select(*[c for c in df.columns if c in self.named or "__" not in c or c.startswith("__") or c.split("__", 1)[1] in ("id", "src", "dst")])
+
+    def properties(self, x) -> set[str]:
+        """The columns that expressions and clauses name."""
+        if isinstance(x, Expr):
+            return {"__".join(x.args)} if x.op == "prop" else self.properties(list(x.args))
+        if isinstance(x, Filter):
+            return self.properties([x.left, x.right])
+        if isinstance(x, Binding):
+            return {f"{x.var}__{p}" for p, _ in x.props} | self.properties([v for _, v in x.props])
+        if isinstance(x, Negation):
+            return self.properties(x.clauses)
+        return set().union(*map(self.properties, x)) if isinstance(x, (list, tuple)) else set()
+
+    def expand(self, scope: Scope, c: Traversal, df: DataFrame, bound: set[str], scan: Callable[[str], DataFrame], filters: list[Filter]) -> tuple[DataFrame, set[str]]:
         e, start, end, reverse = self.catalog.edge(c.edge), c.src, c.dst, c.reverse
         if start not in bound:
             start, end, reverse = end, start, not reverse
@@ -302,6 +337,9 @@ class Compiler:
         if end in bound:
             on = (F.col(f"{start}__id") == F.col("s")) & (F.col(f"{end}__id") == F.col("n"))
             return (df.join(pairs, on).drop("s", "n") if c.var else df.join(pairs, on, "left_semi")), got
+        if end != "_" and (pivot := self.pivot(scope, filters, bound, end)):  # the comparison is made while the rows are joined, not afterwards
+            ends = pairs.join(scan(end), F.col("n") == F.col(f"{end}__id")).drop("n")
+            return theta(self.slim(df), self.slim(ends), (f"{start}__id", "s"), pivot[0], self.condition(scope, pivot[1])).drop("s"), got | {end}
         out = df.join(pairs, F.col(f"{start}__id") == F.col("s")).drop("s")
         if end == "_":
             far = self.tables(e.src if reverse else e.dst).select(F.col("id").alias("_far"))
@@ -397,6 +435,7 @@ class Compiler:
     # -- the whole query ---------------------------------------------------
     def read(self, q: Query) -> DataFrame:
         self.declared = dict(q.params)
+        self.named = self.properties([q.match, q.returns, q.order])
         scope = Scope()
         for c in q.match:
             if isinstance(c, Binding):

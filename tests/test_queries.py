@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from latticework import queries as graph
+from latticework.operators import theta as comparing
 from latticework.operators import traverse
 
 
@@ -123,3 +124,24 @@ def test_dense_hops_write_no_single_pairs(spark, monkeypatch):
         assert found.count() == found.distinct().count() == n * hops
     walk, none = made
     assert none is None and traverse._joined(walk.links, "node", dense.select(F.col("s").cast("long").alias("node")).distinct(), "node") == n
+
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_comparing_join(spark, monkeypatch, op):
+    """Chunks by value, with and without a key, against all pairs: equal values, nulls, NaN, one dominant key; dealt over many tasks whatever the input has."""
+    monkeypatch.setattr(comparing, "CHUNK", 4)
+    some = [(i, i % 5 % 3, [None, float("nan"), -1.5, 0.0, 2.5, 7.0][i * 7 % 6]) for i in range(40)]
+    left, right = spark.createDataFrame(some, "i int, k int, v double").coalesce(1), spark.createDataFrame([(i, None if i == 9 else k, v) for i, k, v in some[:30]], "j int, q int, w double").coalesce(1)
+    test = {"<": F.col("v") < F.col("w"), "<=": F.col("v") <= F.col("w"), ">": F.col("v") > F.col("w"), ">=": F.col("v") >= F.col("w")}[op]
+    for on in (None, ("k", "q")):
+        want = left.crossJoin(right).where(test & (F.col("k") == F.col("q")) if on else test)
+        found = comparing.theta(left, right, on, ("v", op, "w"), test)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and found.columns == want.columns
+        assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["theta_join_all", "cross_binding_filter"])
+def test_comparisons_are_joined_in_chunks(spark, sf, name):
+    """The comparison bounds the join itself, and the rows are dealt to tasks before it."""
+    plan = graph.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_chunk" in plan and "Repartition" in plan
