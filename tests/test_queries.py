@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from latticework import queries as graph
+from latticework import store_queries
 from latticework.operators import theta as comparing
 from latticework.operators import traverse
 
@@ -145,3 +146,20 @@ def test_comparisons_are_joined_in_chunks(spark, sf, name):
     """The comparison bounds the join itself, and the rows are dealt to tasks before it."""
     plan = graph.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "_chunk" in plan and "Repartition" in plan
+
+
+@pytest.mark.parametrize("name", [
+    "graph_mutation_counts",
+    "graph_merge_outcomes",
+])
+def test_stored_graphs_read_their_source_once(spark, sf, monkeypatch, name):
+    """One pass over a source for each load, whatever a query does with its graph."""
+    seen, made, calls = spark.sparkContext.accumulator(0), store_queries._records, []
+
+    def counted(*a):
+        calls.append(made(*a).count())
+        return made(*a).select(F.udf(lambda v: seen.add(1) or v, "string").asNondeterministic()("value").alias("value"))
+
+    monkeypatch.setattr(store_queries, "_records", counted)
+    graph.QUERIES[name](spark, sf)
+    assert calls and seen.value == sum(calls)
