@@ -152,6 +152,7 @@ def test_comparisons_are_joined_in_chunks(spark, sf, name):
     "graph_mutation_counts",
     "graph_merge_outcomes",
     "graph_sinks",
+    "graph_entity",
 ])
 def test_stored_graphs_read_their_source_once(spark, sf, monkeypatch, name):
     """One pass over a source for each load, whatever a query does with its graph."""
