@@ -154,6 +154,7 @@ def test_comparisons_are_joined_in_chunks(spark, sf, name):
     "graph_sinks",
     "graph_entity",
     "graph_insert_delete",
+    "graph_export",
 ])
 def test_stored_graphs_read_their_source_once(spark, sf, monkeypatch, name):
     """One pass over a source for each load, whatever a query does with its graph."""
