@@ -155,6 +155,7 @@ def test_comparisons_are_joined_in_chunks(spark, sf, name):
     "graph_entity",
     "graph_insert_delete",
     "graph_export",
+    "graph_migrate",
 ])
 def test_stored_graphs_read_their_source_once(spark, sf, monkeypatch, name):
     """One pass over a source for each load, whatever a query does with its graph."""
