@@ -156,6 +156,7 @@ def test_comparisons_are_joined_in_chunks(spark, sf, name):
     "graph_insert_delete",
     "graph_export",
     "graph_migrate",
+    "graph_load_overwrite",
 ])
 def test_stored_graphs_read_their_source_once(spark, sf, monkeypatch, name):
     """One pass over a source for each load, whatever a query does with its graph."""
