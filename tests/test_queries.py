@@ -159,6 +159,7 @@ def test_comparisons_are_joined_in_chunks(spark, sf, name):
     "graph_load_overwrite",
     "graph_change_feed",
     "graph_ingest_fork",
+    "graph_mutate",
 ])
 def test_stored_graphs_read_their_source_once(spark, sf, monkeypatch, name):
     """One pass over a source for each load, whatever a query does with its graph."""
