@@ -161,6 +161,7 @@ def test_comparisons_are_joined_in_chunks(spark, sf, name):
     "graph_ingest_fork",
     "graph_mutate",
     "graph_optimize",
+    "graph_load_query",
 ])
 def test_stored_graphs_read_their_source_once(spark, sf, monkeypatch, name):
     """One pass over a source for each load, whatever a query does with its graph."""
