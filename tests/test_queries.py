@@ -162,6 +162,7 @@ def test_comparisons_are_joined_in_chunks(spark, sf, name):
     "graph_mutate",
     "graph_optimize",
     "graph_load_query",
+    "graph_branch_merge",
 ])
 def test_stored_graphs_read_their_source_once(spark, sf, monkeypatch, name):
     """One pass over a source for each load, whatever a query does with its graph."""
