@@ -165,6 +165,7 @@ def test_comparisons_are_joined_in_chunks(spark, sf, name):
     "graph_branch_merge",
     "graph_merge_conflicts",
     "graph_load_merge",
+    "graph_baseline",
 ])
 def test_stored_graphs_read_their_source_once(spark, sf, monkeypatch, name):
     """One pass over a source for each load, whatever a query does with its graph."""
